@@ -139,3 +139,14 @@ def decibels(amplitude: Column) -> Column:
 
 def quality_label(bpm_confidence: Column, stable: Column, key_confidence: Column) -> Column:
     return F.when((bpm_confidence < 0.3) | ~stable, "unreliable").when((bpm_confidence < 0.55) | (key_confidence < 0.25), "partial").otherwise("good")
+
+
+def controls(master: Column, gain_db: Column, pitch_percent: Column) -> Column:
+    """struct(master, gain_db, pitch_percent) within what the mixer allows."""
+    return F.struct(between(master, 0.0, 1.0).alias("master"), between(gain_db, -26.0, 6.0).alias("gain_db"), between(pitch_percent, -8.0, 8.0).alias("pitch_percent"))
+
+
+def crossfader(position: Column) -> Column:
+    """struct(left, right): equal-power gains for a position between 0 and 1."""
+    x = between(position, 0.0, 1.0) * (math.pi / 2)
+    return F.struct(F.cos(x).alias("left"), F.sin(x).alias("right"))

@@ -167,3 +167,14 @@ def smart_reorder(members: DataFrame, group: str) -> DataFrame:
 
     order = F.aggregate(F.sequence(F.lit(2), F.col("n")), F.array("hub"), step)
     return both.where("n > 1").select(group, F.posexplode(order).alias("place", "track_id"))
+
+
+def next_track(queued: DataFrame, picked: DataFrame) -> DataFrame:
+    """One row (source, track_id): the first queued and unplayed track, else the pick; none without either."""
+    both = queued.select(F.lit(0).alias("tier"), F.lit("queue").alias("source"), "track_id").unionByName(picked.select(F.lit(1).alias("tier"), F.lit("pick").alias("source"), "track_id"))
+    return both.agg(F.min(F.struct("tier", "source", "track_id")).alias("r")).where("r is not null").select("r.source", "r.track_id")
+
+
+def selectable(library: DataFrame, queue: DataFrame) -> DataFrame:
+    """Analysed tracks that are not queued yet."""
+    return library.where(F.col("quality").isNotNull()).join(queue.select("track_id").distinct(), "track_id", "left_anti")

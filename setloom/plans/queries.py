@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from setloom.functions import camelot, text, timeline
 from setloom.functions import scoring as S
-from setloom.operators import audio, dedupe, library, queueing, ranking, series
+from setloom.operators import audio, dedupe, library, queueing, ranking, resync, series
 from setloom.plans.fixtures import duck, load
-from setloom.sources import catalog
+from setloom.sources import catalog, files
 from setloom.streaming import plays as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -605,6 +605,70 @@ def key_correlation(spark, sf):
     return ranked.select("vec_id", F.element_at(F.array(*map(F.lit, camelot.PITCHES)), (F.floor(at / 2) + 1).cast("int")).alias("root"), F.when(at % 2 == 0, "major").otherwise("minor").alias("scale"), r6(S.clamp01(2 * lead), "confidence"))
 
 
+# ---- flows: resync, policy, enrichment, store ------------------------------------------------------
+
+TAGS = "SELECT track_id, bpm + CAST(ord % 3 AS DOUBLE) * CAST(0.04 AS DOUBLE) AS tag_bpm, first_beat AS tag_first FROM {lib} WHERE bpm IS NOT NULL AND ord % 2 = 0"
+
+
+@query(f"""{LIB}, tags AS ({TAGS.format(lib='lib')}), {NAMED.replace('BASE', BASE.format('concat(file_path, chr(32), title)')).replace('SOURCE', 'lib')},
+r AS (SELECT n.*, t.tag_bpm, t.tag_bpm IS NOT NULL AND abs(t.tag_bpm - n.bpm) >= 0.05 AS by_tag FROM named n LEFT JOIN tags t USING (track_id) WHERE n.bpm IS NOT NULL AND lower(file_path) LIKE '%.mp3'),
+p AS (SELECT *, CASE WHEN by_tag THEN 'tag' WHEN coalesce(abs(n_bpm - bpm) >= 0.75, false) THEN 'name' ELSE 'unchanged' END AS source FROM r)
+SELECT track_id, source, round(CASE source WHEN 'tag' THEN tag_bpm WHEN 'name' THEN n_bpm ELSE bpm END, 6) AS bpm, CASE WHEN source <> 'unchanged' AND quality = 'unreliable' THEN 'partial' ELSE quality END AS quality FROM p""")
+def resync_library(spark, sf):
+    rows = lib(spark, sf)
+    return resync.resync_plan(rows, spark.sql(TAGS, lib=rows)).select("track_id", "source", r6(F.col("bpm"), "bpm"), "quality")
+
+
+@query(f"{QUEUE_SQL}, {duck('history')} SELECT 'queue' AS source, arg_min(track_id, pos) AS track_id FROM d WHERE queue_id = (SELECT min(queue_id) FROM queue) AND track_id NOT IN (SELECT track_id FROM history WHERE session_id = {SESSION}) HAVING count(*) > 0")
+def next_track_policy(spark, sf):
+    queue = queueing.deduped(load(spark, sf, "queue"))
+    mine = queue.join(F.broadcast(queue.agg(F.min("queue_id").alias("queue_id"))), "queue_id")
+    played = load(spark, sf, "history").where(F.col("session_id") == SESSION)
+    return ranking.next_track(queueing.next_unplayed(mine, played), ranking.pick_next(session_rows(spark, sf)))
+
+
+@query(f"{LIB}, {duck('queue')} SELECT track_id FROM lib WHERE quality IS NOT NULL AND track_id NOT IN (SELECT track_id FROM queue WHERE pos = 0)")
+def selectable_rows(spark, sf):
+    return ranking.selectable(lib(spark, sf), load(spark, sf, "queue").where("pos = 0")).select("track_id")
+
+
+@query(f"""WITH {duck('tracks')}, hits AS ({HITS.format(tracks='tracks')}), cached AS (SELECT track_id, concat('k', track_id) AS hit_id FROM tracks WHERE genre IS NULL),
+scored AS (SELECT t.track_id, rank, h.hit_id, round(0.6 * {OVERLAP.format('title', 'hit_title')} + 0.3 * {OVERLAP.format('artist', 'hit_artist')} + 0.1 * greatest(0.0, 1 - abs(hit_seconds - duration_sec) / 10), 9) AS score FROM tracks t JOIN hits h ON t.track_id = h.track_id WHERE genre IS NOT NULL),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY score DESC, rank) = 1)
+SELECT CASE WHEN c.hit_id IS NOT NULL OR b.score >= 0.55 THEN 'matched' ELSE 'unmatched' END AS status, count(*) AS n FROM tracks t LEFT JOIN cached c USING (track_id) LEFT JOIN best b USING (track_id) GROUP BY ALL""")
+def enrichment_counts(spark, sf):
+    tracks = load(spark, sf, "tracks")
+    hits = spark.sql(HITS, tracks=tracks).withColumn("hit_artists", F.array("hit_artist")).drop("hit_artist")
+    cached = tracks.where("genre is null").select("track_id", F.concat(F.lit("k"), "track_id").alias("hit_id"))
+    return catalog.enrichment_status(tracks, hits, cached).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {duck('tracks')}, n AS (SELECT *, row_number() OVER (ORDER BY added_at DESC, ord) AS r FROM tracks), e AS (SELECT min(r) AS lo, max(r) AS hi FROM n WHERE track_id IN ('t5', 't90')) SELECT track_id FROM n, e WHERE r BETWEEN lo AND hi")
+def range_selection(spark, sf):
+    return library.range_selection(load(spark, sf, "tracks"), "t5", "t90").select("track_id")
+
+
+@query(f"WITH {duck('tracks', 'history')} SELECT track_id, CASE WHEN track_id IN (SELECT track_id FROM history) THEN 'edited' ELSE title END AS title FROM tracks WHERE genre IS NOT NULL")
+def store_changes(spark, sf):
+    tracks, plays_ = load(spark, sf, "tracks"), load(spark, sf, "history")
+    changed = tracks.join(plays_.select("track_id").distinct(), "track_id", "left_semi").withColumn("title", F.lit("edited"))
+    (kept,) = library.delete_cascade(tracks.where("genre is null"), library.upsert(tracks, changed, "track_id"))
+    return kept.select("track_id", "title")
+
+
+@query(f"""{LIB}, r AS (SELECT track_id, file_path AS old_path, concat(regexp_extract(file_path, '^(.*/)?[^/]*$', 1), {CLEAN.format('title')}, regexp_extract(file_path, '(\\.[^./]*)$', 1)) AS new_path FROM lib)
+SELECT track_id, old_path, new_path, CASE WHEN new_path = old_path THEN 'unchanged' WHEN count(*) FILTER (new_path <> old_path) OVER (PARTITION BY new_path) > 1 OR new_path IN (SELECT old_path FROM r) THEN 'collision' ELSE 'rename' END AS status FROM r""")
+def rename_collisions(spark, sf):
+    return files.rename_plan(lib(spark, sf), text.rendered("{title}", {"title": F.col("title")}))
+
+
+@query(f"{LIB} SELECT track_id, round(cos(greatest(least(energy_mean, 1.0), 0.0) * pi() / 2), 6) AS \"left\", round(sin(greatest(least(energy_mean, 1.0), 0.0) * pi() / 2), 6) AS \"right\", round(greatest(least(integrated_lufs + 14, 6.0), -26.0), 6) AS gain_db FROM lib WHERE bpm IS NOT NULL")
+def mixer_controls(spark, sf):
+    fader = timeline.crossfader(F.col("energy_mean"))
+    gains = timeline.controls(F.lit(1.0), F.col("integrated_lufs") + 14, F.lit(0.0))
+    return lib(spark, sf).where("bpm is not null").select("track_id", r6(fader["left"], "left"), r6(fader["right"], "right"), r6(gains["gain_db"], "gain_db"))
+
+
 # ---- audio: a generated click track for each nation, whose number sets the tempo -------------------
 
 

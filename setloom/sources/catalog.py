@@ -49,3 +49,12 @@ def merged(analyses: DataFrame, features: DataFrame) -> DataFrame:
         F.when(new, 0.95).otherwise(F.col("bpm_confidence")).alias("bpm_confidence"), F.when(new, 0.9).otherwise(F.col("key_confidence")).alias("key_confidence"),
         F.when(has, "good").otherwise(F.col("quality")).alias("quality"), "first_beat", F.when(new, F.least(F.lit(1.0), 1.2 * F.col("f_energy"))).alias("energy_peak"),
     )
+
+
+def enrichment_status(tracks: DataFrame, hits: DataFrame, cached: DataFrame) -> DataFrame:
+    """(track_id, hit_id, status): a cached id counts as matched without a search; then the best hit; else unmatched."""
+    known = tracks.join(cached.select("track_id", F.col("hit_id").alias("cached_id")), "track_id", "left")
+    found = best_hits(known.where("cached_id is null"), hits).select("track_id", "hit_id")
+    rows = known.join(found, "track_id", "left")
+    hit = F.coalesce("cached_id", "hit_id")
+    return rows.select("track_id", hit.alias("hit_id"), F.when(hit.isNotNull(), "matched").otherwise("unmatched").alias("status"))
