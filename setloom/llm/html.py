@@ -25,6 +25,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose text is never content.
 DROPPED = frozenset("script style noscript template head title iframe object embed svg math canvas audio video select option optgroup datalist button textarea input form fieldset nav aside footer dialog menu map progress meter".split())
 LANDMARKS = frozenset(("article", "main"))
+CONTAINERS = frozenset("section div td table body ul ol".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
 #: Words of a class or id that mark a container as something other than the article.
 BOILERPLATE = frozenset(
@@ -32,8 +33,16 @@ BOILERPLATE = frozenset(
     "modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar sidebar sidebars aside rail "
     "footer foot masthead topbar comment comments reply replies respond disqus share sharing social related recommended recommendations widget widgets copyright search login".split()
 )
+#: Words that mark an article element as something other than the article.
+REPLIES = frozenset("comment comments reply replies related teaser promo".split())
 #: As above, but only outside an article or main.
-OUTER = frozenset("header head top bottom".split())
+OUTER = frozenset(("header",))
+#: Elements and words that often wrap a whole page: an article or main inside is content all the same.
+FORMS, SOFT_TAGS = frozenset(("form", "fieldset")), frozenset(("header", "nav"))
+SOFT_WORDS = frozenset("sidebar sidebars rail header nav menu banner search login top".split())
+#: With one of these a word says how a page is laid out, not what the element holds.
+NEUTRAL = frozenset("no has with without layout".split())
+HARD, SOFT, FORM = 3, 2, 1
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 SIGMA, KERNEL = 1.0, 3
 
@@ -43,42 +52,46 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, dropped, region before it
-        self.dropped = self.landmarks = self.region = self.regions = 0
+        self.open: list[tuple[str, int, bool, int, tuple[int, int]]] = []  # tag, drop, landmark, region and the two counts before it
+        self.hard = self.soft = self.form = self.landmarks = self.region = self.regions = 0
         self.region_landmark = [False]
         self.text: list[str] = []
         self.tags = self.link = self.in_link = 0
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, link characters, region
+        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, region, in a form
 
     def flush(self) -> None:
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                self.lines.append((line, self.tags, self.link, self.region))
+                self.lines.append((line, self.tags, self.link, self.region, self.form > 0))
                 self.tags = self.link = 0
             self.text = []
 
-    def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or tag == "header" and not self.landmarks:
-            return True
+    def drop(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """HARD for what is never content, SOFT and FORM for what may wrap a page, 0 otherwise."""
+        if tag in FORMS:
+            return FORM
+        if tag in SOFT_TAGS:
+            return 0 if tag == "header" and self.landmarks else SOFT
+        if tag in DROPPED:
+            return HARD
         if not attrs or tag in INLINE and tag not in ("span", "a"):
-            return False
+            return 0
         for key, value in attrs:
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
+                return HARD
             if not value:
                 continue
             if key == "role" and value.lower() in ROLES:
-                return True
+                return SOFT if value.lower() in ("form", "banner", "navigation", "search") else HARD
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-                return True
-            if key in ("class", "id") and tag not in ("body", "html", *LANDMARKS):
+                return HARD
+            if key in ("class", "id") and tag not in ("body", "html", "main"):
                 words = {w.lower() for w in WORDS.findall(value)}
-                if words & BOILERPLATE or not self.landmarks and words & OUTER:
-                    return True
-            elif key in ("class", "id") and tag == "article" and {w.lower() for w in WORDS.findall(value)} & {"comment", "comments", "reply", "replies", "related", "teaser", "promo"}:
-                return True
-        return False
+                wrong = words & (REPLIES if tag == "article" else BOILERPLATE if self.landmarks else BOILERPLATE | OUTER)
+                if wrong and not words & NEUTRAL:
+                    return SOFT if wrong <= SOFT_WORDS else HARD
+        return 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -88,21 +101,23 @@ class Lines(HTMLParser):
             return
         if tag in ("p", "li", "b", "i", "em", "strong") and not attrs:
             return  # often left open, and they bound nothing
-        drop = self.unwanted(tag, attrs)
+        drop = self.drop(tag, attrs)
         if tag in INLINE and not drop:
             if tag == "a":
                 self.in_link += 1
             return
         self.flush()
-        self.open.append((tag, drop, self.region))
-        self.dropped += drop
-        if tag in LANDMARKS:
+        landmark = not drop and (tag in LANDMARKS or any(k == "role" and v in LANDMARKS for k, v in attrs))
+        self.open.append((tag, drop, landmark, self.region, (self.soft, self.form)))
+        self.hard += drop == HARD
+        self.soft += drop == SOFT
+        self.form += drop == FORM
+        if landmark:
             self.landmarks += 1
-            self.region_landmark.append(True)
-        elif tag in ("section", "div", "td", "table", "body", "ul", "ol"):
-            self.region_landmark.append(self.region_landmark[self.region])
-        else:
+            self.soft = self.form = 0
+        elif tag not in CONTAINERS:
             return
+        self.region_landmark.append(landmark or self.region_landmark[self.region])
         self.regions += 1
         self.region = self.regions
 
@@ -115,13 +130,13 @@ class Lines(HTMLParser):
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self.flush()
-                for name, drop, region in reversed(self.open[at:]):
-                    self.dropped -= drop
-                    self.landmarks -= name in LANDMARKS
-                    self.region = region
+                for _, drop, landmark, region, soft in reversed(self.open[at:]):
+                    self.hard -= drop == HARD
+                    self.landmarks -= landmark
+                    self.region, (self.soft, self.form) = region, soft
                 del self.open[at:]
                 return
-            if self.open[at][0] in LANDMARKS and tag not in ("body", "html", *LANDMARKS):
+            if self.open[at][2] and tag not in ("body", "html", *LANDMARKS):
                 return  # a stray end tag does not close the article
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -132,7 +147,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped:
+        if not self.hard and not self.soft:
             self.text.append(data)
             if self.in_link:
                 self.link += len(data)
@@ -164,22 +179,21 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = parser.lines
+    # a form's text is content only where the whole page is one form
+    lines = [x for x in parser.lines if not x[4]] or parser.lines
     if not lines:
         return ""
-    regions = parser.region_landmark
-    inside = [regions[r] for _, _, _, r in lines]
+    inside = [parser.region_landmark[x[3]] for x in lines]
     if any(inside):
-        lines = [x for x, keep in zip(lines, inside) if keep]
-        return " ".join(x[0] for x in lines)
-    chars = np.array([len(t) for t, _, _, _ in lines], float)
-    links = np.array([k for _, _, k, _ in lines], float)
-    ratios = smoothed(np.maximum(chars - links, 0) / np.array([max(1, n) for _, n, _, _ in lines]))
+        return " ".join(x[0] for x, keep in zip(lines, inside) if keep)
+    chars = np.array([len(x[0]) for x in lines], float)
+    links = np.array([x[2] for x in lines], float)
+    ratios = smoothed(np.maximum(chars - links, 0) / np.array([max(1, x[1]) for x in lines]))
     dense = ratios >= threshold(ratios)
     # a region's lines stand or fall together: its dense characters against the others
     of: dict[int, list[int]] = {}
-    for i, (_, _, _, r) in enumerate(lines):
-        of.setdefault(r, []).append(i)
+    for i, x in enumerate(lines):
+        of.setdefault(x[3], []).append(i)
     weight = {r: sum(chars[i] for i in at if dense[i]) for r, at in of.items()}
     most = max(weight.values())
     good = {r for r, at in of.items() if weight[r] >= 0.2 * most and sum(links[i] for i in at) <= 0.4 * sum(chars[i] for i in at)}

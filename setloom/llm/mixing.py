@@ -32,9 +32,9 @@ def shares(sizes: DataFrame, targets: DataFrame | None, period: int) -> DataFram
         weighted = sizes.withColumn("w", F.pow(F.col("total").cast("double"), F.lit(TEMPER)))
     else:
         weighted = sizes.join(targets.select(F.col("src"), F.col("w").cast("double")), "src", "left").fillna({"w": 0.0})
-    everything = weighted.agg(F.sum("w").alias("all"))
-    quota = F.floor(F.col("w") / F.col("all") * F.lit(period)).cast("long")
-    return weighted.crossJoin(F.broadcast(everything)).select("src", "total", F.greatest(quota, F.lit(1).cast("long")).alias("a"))
+    everything = F.sum("w").over(W.partitionBy(F.lit(0)))
+    quota = F.floor(F.col("w") / everything * F.lit(period)).cast("long")
+    return weighted.select("src", "total", F.greatest(quota, F.lit(1).cast("long")).alias("a"))
 
 
 def schedule(shared: DataFrame) -> DataFrame:

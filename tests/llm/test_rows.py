@@ -70,6 +70,18 @@ def test_page_layouts(wrap):
     assert html.main_text(PAGE % wrap.format(body)).replace("\xa0", " ") == want
 
 
+@pytest.mark.parametrize("page", [
+    "<form id=f><div class='layout-sidebar-right'><article><p>Text here.</article></div></form>",
+    "<div class=sidebar><a href=x>l</a></div><div role=main><p>Text <i>here</i>.<div class='related'>No</div></div>",
+    "<nav><a href=x>never closed<main><h1>Text</h1><p>here.</main>",
+    "<article><p>Text <span hidden>no</span> here.</p><div style='display: none'>no</div></article><article class=comment><p>no</article>",
+    "<form><p>Text here.</form>",
+])
+def test_wrapped_pages(page):
+    assert html.main_text(page) == "Text here."
+    assert html.main_text("<nav><a href=x>Menu</a></nav><header>Site</header><footer>f</footer>") == ""
+
+
 def test_pages_table(spark, sf):
     import html as std
     import re
