@@ -92,3 +92,24 @@ def test_frames_round_trip(audio, data, version):
         once = b"ID3\x04\0\0" + codecs.to_synchsafe(len(body)) + body + audio
     twice = codecs.inject_geob(once, {f"d{i}": d for i, d in enumerate(data)})
     assert codecs.read_geob(twice) == {f"d{i}": d for i, d in enumerate(data)} and twice.endswith(audio)
+
+
+def test_snapping_tracker_follows_onsets():
+    x = click_track(120, 20)
+    onsets = dsp.onset_envelope(dsp.energy_envelope(x))
+    beats, hit = dsp.snap_beats(onsets, dsp.RATE / dsp.ENVELOPE_WINDOW, 121.0, 0.25)
+    assert hit > 0.9 and np.median(np.diff(beats)) == pytest.approx(0.5, abs=0.01)
+
+
+def test_first_beat_and_grid():
+    fps = dsp.RATE / dsp.ENVELOPE_WINDOW
+    onsets = dsp.onset_envelope(dsp.energy_envelope(click_track(100, 20)))
+    assert dsp.first_beat(onsets, fps, 100) % 0.6 == pytest.approx(0.25, abs=0.03)
+    assert dsp.beat_grid(0.5, 120, 2.0).tolist() == [0.5, 1.0, 1.5]
+    assert len(dsp.display_bars([0.1] * 512)) == 220 == len(dsp.display_bars([]))
+
+
+def test_resampling_and_mixdown():
+    assert dsp.resampled(np.array([0.0, 1.0, 2.0, 3.0], np.float32), 2, 1).tolist() == [0.0, 2.0]
+    assert dsp.mono([np.array([1.0, 3.0]), np.array([3.0, 5.0])]).tolist() == [2.0, 4.0]
+    assert dsp.peaks(np.zeros(10)) == [0.0] * 512

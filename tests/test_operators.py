@@ -117,3 +117,31 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {tuple(r) for r in spark.table("plays_out").collect()}
     assert got == {tuple(r) for r in plays.windowed_plays(events).collect()}
+
+
+def test_repeats_dropped_from_stream(spark, tmp_path):
+    events = spark.sql("SELECT id % 50 AS event_id, timestamp_seconds(1700000000 + id) AS ts FROM range(100)")
+    events.write.parquet(str(tmp_path / "in"))
+    live = plays.distinct_plays(plays.read_plays(spark, str(tmp_path / "in"), events))
+    plays.append_to_history(live, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_tag_writes_report_errors(spark):
+    rows = [("/a.mp3", b"\xff\xfb", 120.0, [0.5, 1.0], [0.5]), ("/b.flac", b"x", 120.0, [], []), ("/c.mp3", b"\xff", None, [], [])]
+    df = spark.createDataFrame(rows, "path string, content binary, bpm double, beats array<double>, cues array<double>")
+    out = {r["path"]: r for r in files.tag_writes(df).collect()}
+    assert [out[p]["status"] for p in ("/a.mp3", "/b.flac")] == ["ok", "skipped"]
+    back = spark.createDataFrame([(out["/a.mp3"]["content"],)], "content binary").select(files.tag_tempo("content").alias("t")).first()["t"]
+    assert (back["bpm"], back["first_beat"]) == (120.0, 0.5)
+
+
+def test_resync_flag(spark):
+    from setloom.operators.resync import resync_plan
+
+    lib_ = spark.createDataFrame([("a", "/x 90.mp3", "x 90", 120.0, 0.1, "unreliable", 60.0)], "track_id string, file_path string, title string, bpm double, first_beat double, quality string, duration_sec double")
+    tags = spark.createDataFrame([("a", 120.01, 0.1)], "track_id string, tag_bpm double, tag_first double")
+    assert resync_plan(lib_, tags).first()["source"] == "name"
+    assert resync_plan(lib_, tags, False).first()["source"] == "unchanged"
+    moved = spark.createDataFrame([("a", 120.0, 0.2)], "track_id string, tag_bpm double, tag_first double")
+    assert tuple(resync_plan(lib_, moved).first())[1:5] == ("tag", 120.0, 0.2, "partial")
