@@ -17,9 +17,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text or one without a letter goes, and one whose two best languages are too close.
     """
-    found = langid.identify(docs, langid.dictionaries(docs), keep=docs.columns)
-    filled = F.coalesce(F.col("lang"), F.nullif(F.col("lang_pred"), F.lit(langid.UNKNOWN)))
-    return found.where("not rejected").withColumn("lang", filled).select(*docs.columns)
+    found = langid.identify(docs, langid.dictionaries(docs), keep=docs.columns, prefix="_langid_")
+    filled = F.coalesce(F.col("lang"), F.nullif(F.col("_langid_lang_pred"), F.lit(langid.UNKNOWN)))
+    return found.where("not _langid_rejected").withColumn("lang", filled).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture places it, so that sources have their target weights."""
-    return mixing.mix(docs, keep=docs.columns).select(*docs.columns)
+    return mixing.mix(docs, keep=docs.columns, placement=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

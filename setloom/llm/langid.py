@@ -89,8 +89,8 @@ class Classifier:
 _LOADED: dict[int, tuple[dict[str, bytes], Classifier]] = {}
 
 
-def identify(df: DataFrame, content: dict[str, bytes], text: str = "text", keep: list[str] | None = None, margin: float = MARGIN) -> DataFrame:
-    """Columns ``keep``, then lang_pred, score (0 to 1), margin and rejected.
+def identify(df: DataFrame, content: dict[str, bytes], text: str = "text", keep: list[str] | None = None, margin: float = MARGIN, prefix: str = "") -> DataFrame:
+    """Columns ``keep``, then lang_pred, score (0 to 1), margin and rejected, their names after ``prefix``.
 
     lang_pred is a learned language, or ``und`` for a null text or one without a letter;
     score is 0 then. rejected: such a text, or a margin below ``margin``; with no language
@@ -101,6 +101,7 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text", keep:
     empty one; other columns are not read.
     """
     keep = keep or ["doc_id"]
+    results = [prefix + c for c in ("lang_pred", "score", "margin", "rejected")]
     names = [f"_c{i}" for i in range(len(keep))]
     schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))
     sent = df.sparkSession.sparkContext.broadcast(content)
@@ -114,8 +115,8 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text", keep:
             lang, score, gap = ([x[i] for x in found] for i in range(3))
             rejected = [LETTER.search(t.as_py() or "") is None or bool(model.langs) and g < margin for t, g in zip(batch.column(len(keep)), gap)]
             out = [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.record_batch(out, names=[*names, "lang_pred", "score", "margin", "rejected"])
+            yield pa.record_batch(out, names=[*names, *results])
 
     chosen = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
-    out = arrow_rows(df, [*chosen, F.col(f"`{text}`").cast("string").alias("_text")], run, f"{schema}, lang_pred string, score double, margin double, rejected boolean")
+    out = arrow_rows(df, [*chosen, F.col(f"`{text}`").cast("string").alias("_text")], run, f"{schema}, " + ", ".join(f"`{c}` {t}" for c, t in zip(results, ("string", "double", "double", "boolean"))))
     return out.withColumnsRenamed(dict(zip(names, keep)))

@@ -88,9 +88,12 @@ def mix(
     period: int = PERIOD,
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
+    placement: bool = True,
 ) -> DataFrame:
     """Columns ``keep`` (default id and source) with epoch, block and slot for every placement of a row.
 
+    Without ``placement`` the kept columns come alone, whatever their names.
+
     Order the result by (slot, epoch, block) to read the mixture: block counts the blocks of
     the row's source, slot the blocks of all. ``targets(source, weight)`` sets the weights;
     a source without one gets the least share, one of ``period``, and none is dropped.
@@ -120,4 +123,5 @@ def mix(
     nth = F.col("epoch") * F.col("blocks") + _div(F.col("start"), F.lit(block_bytes))
     last = _div(F.col("placed") - 1 - _div(F.col("start"), F.lit(block_bytes)), F.col("blocks"))
     every = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return every.select(F.col("row.*"), "epoch", nth.alias("block"), _slot(nth).alias("slot"))
+    where = ["epoch", nth.alias("block"), _slot(nth).alias("slot")] if placement else []
+    return every.select(F.col("row.*"), *where)

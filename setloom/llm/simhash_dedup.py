@@ -150,7 +150,7 @@ def near_duplicate_groups(df: DataFrame, row: str, text: str, width: int = 5, si
     ``row`` is a unique, non-null long.
     """
     spark = df.sparkSession
-    slim = df.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
+    slim = df.select(F.col(row).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     each = Written(slim.mapInArrow(_classes(width), "row long, same binary, fp binary"), "wide-fingerprints").df
     nodes = Written(each.groupBy("same").agg(F.min("row").alias("node"), F.first("fp").alias("fp")), "text-classes").df
     # texts without a word are copies of each other and of nothing else
@@ -182,12 +182,11 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_i
     Rows link when their ``width``-word shingle sets, A-Z lower-cased, have a Jaccard
     similarity of ``similarity`` or more; equal word sequences always link; groups are
     transitive. Texts without a word (null, empty, white space) form one group. Repeated
-    rows are copies. All columns come back, whatever their names; an empty table stays empty.
+    rows are copies. All columns come back, whatever their names but ``_setloom_row``; an empty table stays empty.
     """
-    # the row number is stable only once written: the id's order, not the partition's, decides who stays
-    ranked = df.select("*", F.monotonically_increasing_id().alias("_row"))
-    rows = Written(ranked, "rows").df
-    groups = near_duplicate_groups(rows, "_row", text, width, similarity)
-    of = rows.select("_row", id_col).join(groups, F.col("_row") == F.col("row"))
-    best = of.groupBy("group").agg(F.min_by("row", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("row"))).alias("_row")).select("_row")
-    return rows.join(best, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    # a row number is stable only once written; the id's order, not the number's, decides who stays
+    rows = Written(df.select("*", F.monotonically_increasing_id().alias("_setloom_row")), "rows").df
+    ids = rows.select(F.col("_setloom_row").alias("row"), F.col(f"`{id_col}`").alias("id"))
+    groups = near_duplicate_groups(rows, "_setloom_row", text, width, similarity)
+    best = groups.join(ids, "row").groupBy("group").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("_setloom_row"))
+    return rows.join(best.select("_setloom_row"), "_setloom_row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

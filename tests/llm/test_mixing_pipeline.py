@@ -111,6 +111,7 @@ def test_stages(spark):
 def test_pipeline_survives_nulls_and_emptiness(spark):
     rows = [(None, None, None, None, None), (1, "the water and the house", None, None, None), (1, "the water and the house", None, None, None), (2, "", "en", "s", 0), (3, "das haus ist hier", "de", "s", 17), (4, "the other one is here", "en", None, 21)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 AS epoch", "2 AS slot", "'x' AS rejected", "3 AS row", "4 AS `group`", "5 AS rank", "6 AS _k")
     for given in (docs, docs.limit(0)):
         now = given
         for _, stage in corpus_pipeline.STAGES:
