@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,16 +62,16 @@ def arrow_rows(df: DataFrame, columns: Iterable[Column | str], fn: Callable, sch
     return df.select(*columns).mapInArrow(fn, schema)
 
 
-def by_bytes(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts of about ``most`` characters each; a longer text stands alone."""
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of about ``most`` bytes of a text column each; a longer text stands alone."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if size and size + n > most:
+            yield batch.slice(start, i - start)
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setloom.llm.common import Written, by_bytes, running
-from setloom.llm.tokens import BATCH_CHARS, parts
+from setloom.llm.tokens import BATCH_BYTES, parts
 
 CAPACITY, END_ID = 4096, 1
 #: Classes of length for the patterns that are fitted.
@@ -165,11 +165,10 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = parts(tokenizer, False).of
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple[int, int, int, int, int]] = []
             at = 0
-            for a, b in by_bytes(texts, BATCH_CHARS):
-                for values in of(texts[a:b]):
+            for part in by_bytes(batch, 1, BATCH_BYTES):
+                for values in of([t or "" for t in part.column(1).to_pylist()]):
                     ids = b"".join([*values, end])
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         some = ids[start : start + 4 * capacity]

@@ -35,7 +35,7 @@ WORD = re.compile(rf"[{LETTER}]+")
 SPACED_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 BARE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s0-9{LETTER}]+")
 #: Parts that a worker remembers, and the characters of a batch.
-MOST_PARTS, BATCH_CHARS = 600_000, 1 << 21
+MOST_PARTS, BATCH_BYTES = 200_000, 1 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -109,7 +109,10 @@ class BatchMerger:
 
 
 class Parts:
-    """Values of text parts under one tokenizer, remembered up to a bound.
+    """Values of text parts under one tokenizer, remembered up to a bound in two generations.
+
+    A part seen again moves to the young generation; when that is full it becomes the old
+    one, and what was not seen since is forgotten.
 
     ``spaced``: the file is byte-level with an optional leading space in its pattern, and
     values are token counts. Otherwise the file drops white space, lower-cases, and values
@@ -127,6 +130,7 @@ class Parts:
         self.special = [t["content"] for t in file["added_tokens"]]
         self.spaced = spaced
         self.seen: dict = {}
+        self.old: dict = {}
 
     def cut(self, text: str) -> list[str]:
         if self.spaced:
@@ -169,16 +173,23 @@ class Parts:
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text the values of its parts, in order."""
-        gc.disable()  # millions of small acyclic objects: the cycle collector would only walk them
-        cut = [self.cut(t) for t in texts]
-        if len(self.seen) > MOST_PARTS:
-            self.seen.clear()
-        self.seen.update(found := self.values(list(set().union(*cut).difference(self.seen))))
-        get = self.seen.__getitem__
-        out = [list(map(get, parts)) for parts in cut]
-        for p in [p for p in found if len(p) > 64]:
-            del self.seen[p]
-        return out
+        gc.disable()  # many small acyclic objects: the cycle collector would only walk them
+        try:
+            cut = [self.cut(t) for t in texts]
+            if len(self.seen) > MOST_PARTS // 2:
+                self.seen, self.old = {}, self.seen
+            fresh = set().union(*cut).difference(self.seen)
+            again = fresh.intersection(self.old)
+            self.seen.update((p, self.old[p]) for p in again)
+            self.seen.update(self.values(list(fresh - again)))
+            get = self.seen.__getitem__
+            out = [list(map(get, parts)) for parts in cut]
+            for p in fresh:
+                if len(p) > 64:
+                    del self.seen[p]
+            return out
+        finally:
+            gc.enable()
 
 
 _LOADED: dict[tuple, Parts] = {}
@@ -204,8 +215,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", id_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = parts(tokenizer, True).of
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [sum(x) for a, b in by_bytes(texts, BATCH_CHARS) for x in of(texts[a:b])]
+            n = [sum(x) for some in by_bytes(batch, 1, BATCH_BYTES) for x in of([t or "" for t in some.column(1).to_pylist()])]
             n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.record_batch([batch.column(0), n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
