@@ -108,27 +108,34 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", label: str = "labe
                 at = pa.array(np.flatnonzero(lengths == d))
                 node, lab, weight = (batch.column(c).take(at) for c in ("node", "label", "weight"))
                 x = np.array(batch.column("v").take(at).flatten(), np.float64).reshape(-1, d)
-                keys = keyed(x / _norm(x))
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
-                whole = pa.array([r.tobytes() for r in keys], pa.binary())
+                keys = keyed(x / _norm(x)) & 0xFFFFFFFF
+                narrow = x.astype(np.float32)
+                exact = (narrow == x).all(axis=1)  # most embeddings are floats: half the bytes, nothing lost
+                raw = pa.array([(a if e else b).tobytes() for a, b, e in zip(narrow, x, exact)], pa.binary())
+                whole = pa.array([r.tobytes() for r in keys.astype(np.uint32)], pa.binary())
                 for t in range(keys.shape[1]):
                     yield pa.record_batch([lab, pa.array([t * 65536 + d] * len(at), pa.int64()), pa.array(keys[:, t]), node, weight, raw, whole], names=["label", "table", "key", "node", "weight", "x", "keys"])
 
     dealt = nodes.select("label", "node", "weight", "v").mapInArrow(deal, "label string, table long, key long, node long, weight long, x binary, keys binary")
     dealt = Written(dealt, "buckets").df
     bucket = ["label", "table", "key"]
-    counted = dealt.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    blocks = counted.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    some = dealt.join(blocks, bucket).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # written, so that its size is known: most often it is tiny and Spark may broadcast it, sparing the wide rows a shuffle
+    large = dealt.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    blocks = Written(large.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-buckets").df
+    some = dealt.join(blocks, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    some = some.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = some.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select(F.xxhash64(*bucket).alias("g"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "table", "node", "weight", "x", "keys")
     paired = paired.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["g", "i", "j"]):
-            x = np.frombuffer(b"".join(group.column("x").to_pylist()), np.float64).reshape(group.num_rows, -1)
+            if group.num_rows == 1:
+                continue
+            d = group.column("table")[0].as_py() % 65536
+            x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * d else np.float64) for b in group.column("x").to_pylist()]).astype(np.float64)
             x = x / _norm(x)
-            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.int64).reshape(group.num_rows, -1)
+            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32).reshape(group.num_rows, -1)
             node, weight, b = (group.column(c).to_numpy() for c in ("node", "weight", "b"))
             i, j, table = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("table")[0].as_py() // 65536
             counts = np.zeros(len(x), np.int64)
