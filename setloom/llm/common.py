@@ -142,7 +142,7 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             a, b = find(u), find(v)
             if a != b:
                 up[max(a, b)] = min(a, b)
-        if len(up) > 1_000_000:
+        if len(up) > 200_000:
             yield flush()
             up.clear()
     yield flush()
@@ -183,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 
-def running(df: DataFrame, group: list[str], spin: str, order: list[str], measure: str, name: str, per_bucket: int = 4096) -> DataFrame:
+def running(df: DataFrame, group: list[str], spin: str, order: list[str], measure: str, name: str, per_bucket: int = 1024) -> DataFrame:
     """Add ``name``: the sum of ``measure`` over the rows before this one in its ``group``, by (spin, order).
 
     ``spin`` is a hash in 0..2^32-1. A group's rows are dealt to about rows / per_bucket
