@@ -1,10 +1,11 @@
 """Main-text extraction: streaming parser events, text-to-tag ratios, smoothing, clustering.
 
 The standard library's parser streams events; no tree is built. Each block of text is one
-line with its text-to-tag ratio. The ratios are smoothed with a Gaussian and cut in two
-clusters; lines of the high cluster anchor content regions, which the page's landmarks
-(article, main) and boilerplate containers (nav, footer, adverts, ...) delimit. Every line of
-a selected region is kept, short ones too.
+line with its text-to-tag ratio. On every page the ratios are smoothed with a Gaussian and cut
+in two clusters; the lines of the high cluster weigh regions, which the page's landmarks
+(article, main) and boilerplate containers (nav, footer, adverts, ...) delimit. Landmarks are
+evidence: they win unless the text outside them is far heavier. Every line of a selected
+region is kept, short ones too, but for blocks of links.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ NEUTRAL = frozenset("no has with without layout".split())
 HARD, SOFT, FORM = 3, 2, 1
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 SIGMA, KERNEL = 1.0, 3
+#: What a character or a ratio in a landmark counts against one outside, and the links that make a block of links there.
+LANDMARK_WEIGHT, LANDMARK_LINKS = 4, 3
+#: Share of a block's characters in links beyond which it is a block of links.
+LINKED = 0.4
 
 
 class Lines(HTMLParser):
@@ -54,17 +59,18 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, int, tuple[int, int]]] = []  # tag, drop, landmark, region and the two counts before it
         self.hard = self.soft = self.form = self.landmarks = self.region = self.regions = 0
-        self.region_landmark = [False]
+        self.region_landmark = [0]  # the outermost landmark's region, 0 outside
+        self.in_article = [False]
         self.text: list[str] = []
-        self.tags = self.link = self.in_link = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, region, in a form
+        self.tags = self.link = self.in_link = self.anchors = 0
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []  # text, tags, link characters, region, in a form, links
 
     def flush(self) -> None:
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                self.lines.append((line, self.tags, self.link, self.region, self.form > 0))
-                self.tags = self.link = 0
+                self.lines.append((line, self.tags, self.link, self.region, self.form > 0, self.anchors))
+                self.tags = self.link = self.anchors = 0
             self.text = []
 
     def drop(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -105,6 +111,7 @@ class Lines(HTMLParser):
         if tag in INLINE and not drop:
             if tag == "a":
                 self.in_link += 1
+                self.anchors += 1
             return
         self.flush()
         landmark = not drop and (tag in LANDMARKS or any(k == "role" and v in LANDMARKS for k, v in attrs))
@@ -115,10 +122,14 @@ class Lines(HTMLParser):
         if landmark:
             self.landmarks += 1
             self.soft = self.form = 0
+            if tag == "main":
+                self.in_link = 0  # a link left open before it
         elif tag not in CONTAINERS:
             return
-        self.region_landmark.append(landmark or self.region_landmark[self.region])
         self.regions += 1
+        self.region_landmark.append(self.region_landmark[self.region] or (self.regions if landmark else 0))
+        article = landmark and (tag == "article" or tag != "main" and any(k == "role" and v == "article" for k, v in attrs))
+        self.in_article.append(article or self.in_article[self.region])
         self.region = self.regions
 
     def handle_endtag(self, tag: str) -> None:
@@ -173,6 +184,17 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def link_blocks(lines: list[tuple[str, int, int, int, bool, int]], at: list[int], least: int) -> set[int]:
+    """Regions of the lines ``at`` that are mostly links, of which they have ``least`` or more."""
+    sums: dict[int, list[int]] = {}
+    for i in at:
+        text, _, link, region, _, anchors = lines[i]
+        have = sums.setdefault(region, [0, 0, 0])
+        for k, n in enumerate((len(text), link, anchors)):
+            have[k] += n
+    return {r for r, (n, link, anchors) in sums.items() if link > LINKED * n and anchors >= least}
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks joined by one space; empty if there is none."""
     parser = Lines()
@@ -183,13 +205,26 @@ def main_text(html: str | None) -> str:
     lines = [x for x in parser.lines if not x[4]] or parser.lines
     if not lines:
         return ""
-    inside = [parser.region_landmark[x[3]] for x in lines]
-    if any(inside):
-        return " ".join(x[0] for x, keep in zip(lines, inside) if keep)
     chars = np.array([len(x[0]) for x in lines], float)
     links = np.array([x[2] for x in lines], float)
     ratios = smoothed(np.maximum(chars - links, 0) / np.array([max(1, x[1]) for x in lines]))
-    dense = ratios >= threshold(ratios)
+    cut = threshold(ratios)
+    dense = ratios >= cut
+    marked = np.array([parser.region_landmark[x[3]] > 0 for x in lines])
+    heavy = np.where(ratios >= np.where(marked, cut / LANDMARK_WEIGHT, cut), np.maximum(chars - links, 0), 0)
+    # landmarks together, and the heaviest of them with its bonus, against the text outside
+    inside: dict[int, float] = {}
+    for i, x in enumerate(lines):
+        if top := parser.region_landmark[x[3]]:
+            inside[top] = inside.get(top, 0) + heavy[i]
+    outside = heavy[~marked].sum()
+    if inside and max(LANDMARK_WEIGHT * max(inside.values()), sum(inside.values())) >= outside:
+        at = np.flatnonzero(marked).tolist()
+        linked = link_blocks(lines, at, LANDMARK_LINKS)
+        return " ".join(lines[i][0] for i in at if lines[i][3] not in linked or len(linked) == len({lines[k][3] for k in at}))
+    # an article far lighter than the text around it is a piece of its own
+    rest = [i for i, x in enumerate(lines) if not parser.in_article[x[3]]]
+    lines, chars, links, dense = [lines[i] for i in rest], chars[rest], links[rest], dense[rest]
     # a region's lines stand or fall together: its dense characters against the others
     of: dict[int, list[int]] = {}
     for i, x in enumerate(lines):

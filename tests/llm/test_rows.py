@@ -82,6 +82,17 @@ def test_wrapped_pages(page):
     assert html.main_text("<nav><a href=x>Menu</a></nav><header>Site</header><footer>f</footer>") == ""
 
 
+def test_landmarks_are_evidence():
+    body = [f"Paragraph {i} " + "of the body, with words enough to be text. " * 8 for i in range(6)]
+    page = "<body><div>" + "".join(f"<div><p>{p}</p></div>" for p in body) + "</div>%s</body>"
+    want = " ".join(" ".join(body).split())
+    assert html.main_text(page % "<article class=card><h3><a href=x>Other story</a></h3><p>A short teaser.</article>") == want
+    assert html.main_text(page % "<main><ul><li><a href=x>one</a><li><a href=y>two</a></ul></main>") == want
+    links = "".join(f"<li><a href=x>Link number {i}</a>" for i in range(5))
+    assert html.main_text(f"<article><p>{body[0]}</p><ul>{links}</ul><p>Short end.</p><table><tr><td>12<td><a href=x>cell</a></table></article><div>Imprint</div>") == f"{body[0].strip()} Short end. 12 cell"
+    assert html.main_text("<article><p>A short story.</p></article><div>Some words of an imprint.</div>") == "A short story."
+
+
 def test_pages_table(spark, sf):
     import html as std
     import re
