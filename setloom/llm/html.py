@@ -50,6 +50,8 @@ SIGMA, KERNEL = 1.0, 3
 LANDMARK_WEIGHT, LANDMARK_LINKS = 4, 3
 #: Share of a block's characters in links beyond which it is a block of links.
 LINKED = 0.4
+#: Share of the page's weight with which a region is the place to look in.
+WHOLE = 0.9
 
 
 class Lines(HTMLParser):
@@ -59,6 +61,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, int, tuple[int, int]]] = []  # tag, drop, landmark, region and the two counts before it
         self.hard = self.soft = self.form = self.landmarks = self.region = self.regions = 0
+        self.parent, self.page = [0], {0}  # of each region its parent, and the regions of the page itself
         self.region_landmark = [0]  # the outermost landmark's region, 0 outside
         self.in_article = [False]
         self.text: list[str] = []
@@ -127,6 +130,9 @@ class Lines(HTMLParser):
         elif tag not in CONTAINERS:
             return
         self.regions += 1
+        self.parent.append(self.region)
+        if tag == "body":
+            self.page.add(self.regions)
         self.region_landmark.append(self.region_landmark[self.region] or (self.regions if landmark else 0))
         article = landmark and (tag == "article" or tag != "main" and any(k == "role" and v == "article" for k, v in attrs))
         self.in_article.append(article or self.in_article[self.region])
@@ -195,6 +201,41 @@ def link_blocks(lines: list[tuple[str, int, int, int, bool, int]], at: list[int]
     return {r for r, (n, link, anchors) in sums.items() if link > LINKED * n and anchors >= least}
 
 
+def container(lines: list[tuple[str, int, int, int, bool, int]], weight: np.ndarray, parent: list[int], page: set[int]) -> list[int]:
+    """The lines of the region that holds the text: from the page down to where no part has nearly all the weight.
+
+    Parts that lie side by side in it are judged together, so a short one stays, and so does what
+    stands beside it in its parent, a title or a list; beside it in the page itself (regions
+    ``page``) only if its weight is its own lines', as a block of text has it.
+    """
+    of: dict[int, list[int]] = {}
+    own: dict[int, float] = {}
+    for i, x in enumerate(lines):
+        of.setdefault(x[3], []).append(i)
+        own[x[3]] = own.get(x[3], 0) + weight[i]
+    total = [own.get(r, 0) for r in range(len(parent))]
+    count = [len(of.get(r, ())) for r in range(len(parent))]
+    children: list[list[int]] = [[] for _ in parent]
+    for r in range(len(parent) - 1, 0, -1):  # a region's number is above its parent's
+        total[parent[r]] += total[r]
+        count[parent[r]] += count[r]
+        children[parent[r]].append(r)
+    at = 0
+    while heir := next((r for r in children[at] if total[r] >= WHOLE * total[0] > 0), 0):
+        at = heir
+    up = at
+    while up and count[up] == count[at]:
+        up = parent[up]
+    if up not in page or own.get(at, 0) >= total[at] / 2:
+        at = up
+    stack, out = [at], []
+    while stack:
+        r = stack.pop()
+        out += of.get(r, ())
+        stack += children[r]
+    return sorted(out)
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks joined by one space; empty if there is none."""
     parser = Lines()
@@ -208,7 +249,7 @@ def main_text(html: str | None) -> str:
     chars = np.array([len(x[0]) for x in lines], float)
     links = np.array([x[2] for x in lines], float)
     ratios = smoothed(np.maximum(chars - links, 0) / np.array([max(1, x[1]) for x in lines]))
-    cut = threshold(ratios)
+    cut = np.expm1(threshold(np.log1p(ratios)))  # of logarithms, lest one long paragraph be a cluster of its own
     dense = ratios >= cut
     marked = np.array([parser.region_landmark[x[3]] > 0 for x in lines])
     heavy = np.where(ratios >= np.where(marked, cut / LANDMARK_WEIGHT, cut), np.maximum(chars - links, 0), 0)
@@ -225,18 +266,9 @@ def main_text(html: str | None) -> str:
     # an article far lighter than the text around it is a piece of its own
     rest = [i for i, x in enumerate(lines) if not parser.in_article[x[3]]]
     lines, chars, links, dense = [lines[i] for i in rest], chars[rest], links[rest], dense[rest]
-    # a region's lines stand or fall together: its dense characters against the others
-    of: dict[int, list[int]] = {}
-    for i, x in enumerate(lines):
-        of.setdefault(x[3], []).append(i)
-    weight = {r: sum(chars[i] for i in at if dense[i]) for r, at in of.items()}
-    most = max(weight.values())
-    good = {r for r, at in of.items() if weight[r] >= 0.2 * most and sum(links[i] for i in at) <= 0.4 * sum(chars[i] for i in at)}
-    kept = [i for i, x in enumerate(lines) if x[3] in good]
-    if not kept:
-        return ""
-    # what lies between the selected regions belongs to the article unless it is mostly links
-    return " ".join(lines[i][0] for i in range(kept[0], kept[-1] + 1) if lines[i][3] in good or links[i] <= 0.4 * chars[i])
+    at = container(lines, np.where(dense, np.maximum(chars - links, 0), 0), parser.parent, parser.page)
+    linked = link_blocks(lines, at, 1)
+    return " ".join(lines[i][0] for i in at if lines[i][3] not in linked)
 
 
 def extract(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -93,6 +93,24 @@ def test_landmarks_are_evidence():
     assert html.main_text("<article><p>A short story.</p></article><div>Some words of an imprint.</div>") == "A short story."
 
 
+def test_containers_side_by_side_stand_together():
+    body = [" ".join([f"Words of block {i} go on."] * 22) for i in range(4)]
+    divs = "".join(f"<div>{p}</div>" for p in body)
+    lead, end = "A lead of a few words.", "The closing block has ninety characters or so, and is text like all the others before it."
+    top = "<div id=top><div>Some words about the site</div></div>"
+    text = " ".join([lead, *body, end])
+    blocks = f"<div>{lead}</div>{divs}<div>{end}</div>"
+    links = "<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>"
+    assert html.main_text(f"<body>{blocks}</body>") == text
+    assert html.main_text(f"<body>{top}<div class=post>{blocks}{links}</div></body>") == text
+    assert html.main_text(f"<body>{top}<div><div><h1>Title</h1></div><div>{' '.join(f'<p>{p}</p>' for p in body)}</div><ul><li>item one<li>item two</ul></div></body>") == " ".join(["Title", *body, "item one item two"])
+    assert html.main_text(f"<body>{top}<div><div>{body[0]}</div><table><tr><td>a<td>1</table><section>{end}</section></div></body>") == f"{body[0]} a 1 {end}"
+    assert html.main_text(f"<body>{links}</body>") == ""
+    assert html.main_text(f"<body>{top}<div><h1>Title</h1><div>{divs}</div><div>{end}</div></div></body>") == " ".join(["Title", *body, end])
+    long = " ".join(body * 5)
+    assert html.main_text(f"<body><div><div><p>{long}</p><p>{end}</p></div><div><p>{body[0]}</p><p>{lead}</p></div></div></body>") == " ".join([long, end, body[0], lead])
+
+
 def test_pages_table(spark, sf):
     import html as std
     import re
