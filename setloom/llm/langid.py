@@ -4,11 +4,17 @@ A text's words, lower-cased, are compressed once per language with that language
 raw-content zstandard dictionary, in chunks, so that a long text can't serve as its own
 dictionary; the language with the smallest total wins. Learning takes a bounded sample of
 labelled rows, chosen by a hash, as raw dictionary content: nothing else is trained.
+
+Compressed sizes are whole bytes, and a chunk that does not compress is stored raw in every
+language. So where the sizes are too few bytes to show the margin and tie, code lengths in
+fractions of a bit, from the letter sequences of the same dictionaries, decide instead.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +29,8 @@ LEVEL, CHUNK_BYTES = 3, 512
 #: A text is rejected if the runner-up needs less than this share of bytes more than the winner.
 MARGIN = 0.002
 UNKNOWN = "und"
+#: Letters of context of the fractional code lengths.
+ORDER, UNSEEN_BITS = 3, 20.0
 LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -61,11 +69,53 @@ def dictionaries(df: DataFrame, text: str = "text", lang: str = "lang", id_col:
     return out
 
 
+class CodeLengths:
+    """Bits of a text by the letter sequences of one language's dictionary.
+
+    A letter's chance after the ORDER letters before it blends its share after ever shorter
+    contexts, each weighed by its count against its distinct successors (Witten-Bell). A letter
+    the dictionary lacks costs the same in every language, and a space after it nothing, so a
+    text in letters that no language has tells them not apart.
+    """
+
+    def __init__(self, content: bytes):
+        text = f" {content.decode(errors='ignore')} "
+        self.counts = [Counter(text[i : i + n] for i in range(len(text) - n + 1)) for n in range(1, ORDER + 2)]
+        self.seen, self.kinds = [], []
+        for grams in self.counts:
+            seen, kinds = Counter(), Counter()
+            for gram, n in grams.items():
+                seen[gram[:-1]] += n
+                kinds[gram[:-1]] += 1
+            self.seen.append(seen)
+            self.kinds.append(kinds)
+
+    def bits(self, words: str) -> float:
+        text, total = f" {words.strip()} ", 0.0
+        for i in range(1, len(text)):
+            if text[i] not in self.counts[0]:
+                total += UNSEEN_BITS
+                continue
+            if text[i] == " " and text[i - 1] not in self.counts[0]:
+                continue
+            chance = 2.0**-UNSEEN_BITS
+            for n in range(min(i, ORDER) + 1):
+                context = text[i - n : i]
+                if not (seen := self.seen[n][context]):
+                    break
+                kinds = self.kinds[n][context]
+                chance = (self.counts[n][context + text[i]] + kinds * chance) / (seen + kinds)
+            total -= math.log2(chance)
+        return total
+
+
 class Classifier:
     def __init__(self, content: dict[str, bytes]):
         import zstandard
 
         self.langs = sorted(content)
+        self.content = content
+        self.lengths: dict[str, CodeLengths] = {}
         self.compressors = []
         for k in self.langs:
             d = zstandard.ZstdCompressionDict(content[k].ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -76,16 +126,29 @@ class Classifier:
         """(language, score, margin); the margin is what the runner-up needs more, as a share of the winner."""
         if text is None or not self.langs or LETTER.search(text) is None:
             return UNKNOWN, 0.0, 0.0
-        data = words_of(text).encode()
+        words = words_of(text)
+        data = words.encode()
         chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
         sizes = [sum([len(c.compress(x)) for x in chunks]) for c in self.compressors]
         least = min(sizes)
         at = sizes.index(least)
         rest = min(sizes[:at] + sizes[at + 1 :], default=2 * least)
         margin = (rest - least) / least
+        if rest == least and least * MARGIN < 1:
+            return self.tied(words, [k for k, n in zip(self.langs, sizes) if n == least])
         return self.langs[at], min(1.0, 0.5 + 2.5 * margin), margin
 
 
+    def tied(self, words: str, langs: list[str]) -> tuple[str, float, float]:
+        """As predict, for the languages whose sizes in bytes are equal, by fractional code lengths."""
+        for k in langs:
+            if k not in self.lengths:
+                self.lengths[k] = CodeLengths(self.content[k])
+        bits = sorted((self.lengths[k].bits(words), k) for k in langs)
+        margin = (bits[1][0] - bits[0][0]) / bits[0][0]
+        return bits[0][1], min(1.0, 0.5 + 2.5 * margin), margin
+
+
 _LOADED: dict[int, tuple[dict[str, bytes], Classifier]] = {}
 
 
@@ -94,8 +157,9 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text", keep:
 
     lang_pred is a learned language, or ``und`` for a null text or one without a letter;
     score is 0 then. rejected: such a text, or a margin below ``margin``; with no language
-    learned every text is ``und`` and only those without a letter are rejected. A tie goes to the
-    language first in order, with margin 0, so it is rejected. One narrow pass: the
+    learned every text is ``und`` and only those without a letter are rejected. A tie in bytes, of a
+    text too short for bytes to show the margin, is decided by fractional code lengths, margin
+    included; any other tie goes to the language first in order, with margin 0, so it is rejected. One narrow pass: the
     dictionaries (DICTIONARY_BYTES a language) go out with the function. Whole texts are
     compressed, of any length. Rows, nulls and repeats are kept; an empty table gives an
     empty one; other columns are not read.

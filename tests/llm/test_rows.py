@@ -193,6 +193,16 @@ def test_language_id(spark, sf):
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) / len(held) >= 0.95
 
 
+def test_language_of_very_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.Classifier(langid.dictionaries(docs))
+    short = [r for r in docs.where("lang is not null and size(split(trim(text), ' ')) <= 4").collect() if langid.LETTER.search(r["text"])]
+    found = [model.predict(r["text"]) for r in short]
+    assert len(short) > 20 and all(m >= langid.MARGIN for _, _, m in found)
+    assert sum(k == r["lang"] for r, (k, _, _) in zip(short, found)) >= 0.9 * len(short)
+    assert all(model.predict(t)[2] < langid.MARGIN for t in ("漢字 仮名", "щ", "漢字"))
+
+
 def test_language_id_odd_rows(spark):
     r = random.Random(1)
     made = [(i, " ".join(r.choices(["the", "house", "with", "water"] if i % 2 else ["das", "haus", "mit", "wasser"], k=40)), "en" if i % 2 else "de") for i in range(60)]
