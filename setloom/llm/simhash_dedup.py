@@ -6,6 +6,10 @@ by sampled bits in many tables, joins what lies within ``RADIUS`` bits in a shar
 into coarse groups, and then decides every link inside a coarse group by the exact Jaccard
 similarity of the shingle sets. Exact copies collapse first, so a group of copies costs one
 member. A coarse group is compared block by block; only spanning links leave a task.
+
+Fingerprints of few shingles spread wider than RADIUS. So texts of up to SHORT shingles also
+meet exactly: sets of that similarity share one of the first shingles, in the order of their
+digests, that a set has beyond the overlap it needs.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ BITS, RADIUS = 128, 31
 FAR_BITS, TABLE_RECALL = 0.20, 0.95
 #: Members of a coarse group that are compared with each other in one task.
 BLOCK = 1000
+#: Shingles up to which a text meets every similar one, whatever the fingerprints.
+SHORT = 16
 
 
 def shingle_digests(text: str | None, width: int) -> np.ndarray:
@@ -40,6 +46,10 @@ def shingle_digests(text: str | None, width: int) -> np.ndarray:
     return np.frombuffer(b"".join([xxh128_digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 16)
 
 
+def gram_set(digests: np.ndarray) -> np.ndarray:
+    return np.sort(np.ascontiguousarray(digests[:, :8]).view(np.uint64).ravel())
+
+
 def wide_fingerprint(digests: np.ndarray) -> bytes:
     bits = np.zeros(BITS, np.int64)
     for at in range(0, len(digests), 1 << 15):
@@ -47,18 +57,20 @@ def wide_fingerprint(digests: np.ndarray) -> bytes:
     return np.packbits(2 * bits > len(digests)).tobytes()
 
 
-def _classes(width: int):
+def _classes(width: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            same, fps = [], []
+            same, fps, short = [], [], []
             for t in batch.column("text"):
                 text = t.as_py()
                 words = (text or "").encode().lower().split()
                 same.append(xxh3_128_digest(b" ".join(words)))
-                fps.append(wide_fingerprint(shingle_digests(text, width)))
-            yield pa.record_batch([batch.column("row"), pa.array(same, pa.binary()), pa.array(fps, pa.binary())], names=["row", "same", "fp"])
+                d = shingle_digests(text, width)
+                fps.append(wide_fingerprint(d))
+                short.append(gram_set(d).tobytes() if 0 < len(d) <= most else None)
+            yield pa.record_batch([batch.column("row"), *[pa.array(x, pa.binary()) for x in (same, fps, short)]], names=["row", "same", "fp", "short"])
 
     return run
 
@@ -113,8 +125,7 @@ def _sets(width: int):
         for batch in batches:
             sets = []
             for t in batch.column("text"):
-                d = shingle_digests(t.as_py(), width)
-                sets.append(np.sort(np.ascontiguousarray(d[:, :8]).view(np.uint64).ravel()).tobytes())
+                sets.append(gram_set(shingle_digests(t.as_py(), width)).tobytes())
             columns = [batch.column(c) for c in ("component", "node", "fp")]
             yield pa.record_batch([*columns, pa.array(sets, pa.binary())], names=["component", "node", "fp", "grams"])
 
@@ -144,6 +155,43 @@ def similar_links(nodes: list[int], fps: list[bytes], grams: list[np.ndarray], s
     return out
 
 
+def compared(grams: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) within each component of ``grams(component, node, fp, grams)``, in the blocks of ``sizes(component, blocks)``."""
+    grams = grams.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = grams.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
+        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "fp", "grams"
+    )
+    dealt = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["component", "i", "j"]):
+            grams = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
+            found = similar_links(group.column("node").to_pylist(), group.column("fp").to_pylist(), grams, similarity)
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return dealt.mapInArrow(link, "u long, v long")
+
+
+def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of ``nodes(node, short)`` that join all pairs of that similarity: exact, by shared first shingles."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at = [], []
+            for i, g in enumerate(batch.column("short").to_pylist()):
+                grams = np.frombuffer(g, np.int64)
+                some = grams[: len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1]
+                keys += some.tolist()
+                at += [i] * len(some)
+            rows = batch.take(pa.array(at, pa.int64()))
+            fps = pa.array([bytes(BITS // 8)] * len(at), pa.binary())  # equal, so that no pair is ruled out by them
+            yield pa.record_batch([pa.array(keys, pa.int64()), rows.column("node"), fps, rows.column("short")], names=["component", "node", "fp", "grams"])
+
+    keyed = nodes.where("short is not null").select("node", "short").mapInArrow(first, "component long, node long, fp binary, grams binary")
+    sizes = keyed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    return compared(keyed, sizes, similarity)
+
+
 def near_duplicate_groups(df: DataFrame, row: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, group): rows of one group are equal texts or linked by similarity; group is its least row.
 
@@ -151,27 +199,16 @@ def near_duplicate_groups(df: DataFrame, row: str, text: str, width: int = 5, si
     """
     spark = df.sparkSession
     slim = df.select(F.col(row).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    each = Written(slim.mapInArrow(_classes(width), "row long, same binary, fp binary"), "wide-fingerprints").df
-    nodes = Written(each.groupBy("same").agg(F.min("row").alias("node"), F.first("fp").alias("fp")), "text-classes").df
+    each = Written(slim.mapInArrow(_classes(width, math.floor(SHORT / similarity)), "row long, same binary, fp binary, short binary"), "wide-fingerprints").df
+    nodes = Written(each.groupBy("same").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("short").alias("short")), "text-classes").df
     # texts without a word are copies of each other and of nothing else
     coarse = Written(coarse_groups(nodes.where(F.col("fp") != F.lit(bytes(16))).select("node", "fp")), "coarse").df
     sizes = coarse.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = coarse.join(sizes, "component").join(nodes.select("node", "fp"), "node")
     with_text = placed.join(slim.withColumnRenamed("row", "node"), "node")
     grams = with_text.select("component", "node", "fp", "text").mapInArrow(_sets(width), "component long, node long, fp binary, grams binary")
-    grams = grams.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = grams.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "fp", "grams"
-    )
-    dealt = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["component", "i", "j"]):
-            grams = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
-            found = similar_links(group.column("node").to_pylist(), group.column("fp").to_pylist(), grams, similarity)
-            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-    linked = Written(components(dealt.mapInArrow(link, "u long, v long")), "similar").df
+    links = compared(grams, sizes, similarity).unionByName(short_links(nodes, similarity))
+    linked = Written(components(links), "similar").df
     group_of = nodes.select("same", "node").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("group"))
     return each.select("row", "same").join(group_of, "same").select("row", "group")
 

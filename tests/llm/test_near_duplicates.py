@@ -138,6 +138,19 @@ def test_similar_links_are_exact():
     assert simhash_dedup.similar_links([1, 3], [fp] * 2, [sets[0], sets[2]], 0.8) == []
 
 
+def test_short_texts_at_the_threshold_all_link(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    rows = []
+    for k in range(600):
+        a = [word() for _ in range((8, 16, 20)[k % 3])]
+        b = a + [word() for _ in range((1, 3, 4)[k % 3])]  # 4 of 5, 12 of 15 and 16 of 20 shingles
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    assert all(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8 for k in range(600))
+    got = {x["doc_id"] for x in simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2 * k for k in range(600)}
+
+
 def brute_links(rows):
     good = {}
     for i, v, label in rows:
