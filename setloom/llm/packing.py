@@ -162,20 +162,28 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc
     kind = df.schema[id_col].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
 
+    def cut(texts: pa.Array, first: int) -> np.ndarray:
+        """(row, piece, start, length, crc) of the pieces of some rows, the first of which is ``first``."""
+        ids, sizes = parts(tokenizer, False).encode(texts)
+        view, ends = memoryview(ids.tobytes()), np.cumsum(sizes)
+        many = sizes // capacity + 1  # the end id is a token more
+        row = np.repeat(np.arange(len(sizes)), many)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        start = piece * capacity
+        length = np.minimum(sizes[row] + 1 - start, capacity)
+        whole = start + length <= sizes[row]  # without the end id
+        low = (ends - sizes)[row] + start
+        high = low + length - ~whole
+        crc = [zlib.crc32(view[4 * a : 4 * b]) if w else zlib.crc32(end, zlib.crc32(view[4 * a : 4 * b])) for a, b, w in zip(low.tolist(), high.tolist(), whole.tolist())]
+        return np.stack([row + first, piece, start, length, np.array(crc, np.int64)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = parts(tokenizer, False).of
         for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            at = 0
+            first = 0
             for part in by_bytes(batch, 1, BATCH_BYTES):
-                for values in of([t or "" for t in part.column(1).to_pylist()]):
-                    ids = b"".join([*values, end])
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        some = ids[start : start + 4 * capacity]
-                        rows.append((at, piece, start // 4, len(some) // 4, zlib.crc32(some)))
-                    at += 1
-            which, piece, start, length, crc = (np.array(x, np.int64) for x in zip(*rows)) if rows else [np.empty(0, np.int64)] * 5
-            yield pa.record_batch([batch.column(0).take(pa.array(which)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=[id_col, "piece", "start", "length", "ids_crc32"])
+                which, piece, start, length, crc = cut(part.column(1), first)
+                first += part.num_rows
+                yield pa.record_batch([batch.column(0).take(pa.array(which)), *map(pa.array, (piece.astype(np.int32), start, length, crc))], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     chosen = df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string"))
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
