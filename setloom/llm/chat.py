@@ -1,16 +1,19 @@
 """Chat formatting: tool calls linked to results, ordered, validated, as canonical JSON.
 
-Calls and results meet by a shuffled hash join on (conversation, call id), so a conversation
-of any length spreads over tasks. Calls of one message are ordered topologically by the calls
-that they come after; a message is one row, so the order needs no shuffle. Arguments are
-checked against the tool's schema, and every record is one line of canonical JSON: sorted
-keys, no spaces, no escapes of other scripts.
+Messages are read once, into a table of calls and results. An aggregate, partial before its
+shuffle, leaves a row for each (conversation, call id) with the first result and whether there
+is a call; a hash join hands it to the calls. The call side may be split, so neither a long
+conversation nor an id that very many calls share ends in one task. Calls of one message are
+ordered topologically by the calls that they come after; a message is one row, so the order
+needs no shuffle. Arguments are checked against the tool's schema, and every record is one
+line of canonical JSON: sorted keys, no spaces, no escapes of other scripts.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,16 +21,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setloom.llm.common import Written
+
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
-CALL_FIELDS = "conv_id long, turn long, idx int, call_id string, name string, arguments string, position int, error string"
-RESULT_FIELDS = "conv_id long, turn long, idx int, call_id string, content string"
+#: A row a call or a result; head: its record up to the result's value, content: that value of a result.
+EVENT_FIELDS = "conv_id long, turn long, idx int, call_id string, head string, position int, error string, content string"
+#: What is wrong with a call that can't be read.
+MALFORMED = "malformed"
 WORD = re.compile(r"[^ \t\r\x0b\x0c]+")
 #: The tool of the registered query: a line of a user's turn is a call, a line of the reply its result.
 LINE_TOOL = {"reply_line": {"type": "object", "required": ["line", "words"], "additionalProperties": False, "properties": {"line": {"type": "string", "minLength": 1, "maxLength": 4000}, "words": {"type": "integer", "minimum": 1, "maximum": 40}}}}
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def _finite(text: str) -> float:
+    if not math.isfinite(x := float(text)):
+        raise ValueError(f"out of range: {text}")
+    return x
+
+
+def _no_constant(text: str) -> None:
+    raise ValueError(f"not JSON: {text}")
+
+
+def read(text: str) -> tuple[object, str] | None:
+    """The value of a JSON text and its canonical form; None for what isn't JSON or has none: NaN and infinite
+    numbers, lone surrogates, integers or nesting beyond what the parser takes."""
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_no_constant)
+        whole = canonical(value)
+        whole.encode()
+        return value, whole
+    except (ValueError, RecursionError):
+        return None
+
+
+def identifier(value: object) -> str | None:
+    """An id is a string or an integer, by its digits; anything else is no id."""
+    if isinstance(value, int) and not isinstance(value, bool):
+        return str(value)
+    return value if isinstance(value, str) else None
 
 
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -67,11 +103,12 @@ def violation(value: object, schema: dict, at: str = "$") -> str | None:
     return None
 
 
-def topological(ids: list[str], after: list[list[str]]) -> list[int | None]:
-    """Each call's place in topological order, ties in given order; None in or behind a cycle. Other messages' ids bind nothing."""
+def topological(ids: list[str | None], after: list[list[str | None]]) -> list[int | None]:
+    """Each call's place in topological order, ties in given order; None in or behind a cycle. Other messages' ids and missing ones bind nothing."""
     first: dict[str, int] = {}
     for i, x in enumerate(ids):
-        first.setdefault(x, i)
+        if x is not None:
+            first.setdefault(x, i)
     waits = [{first[a] for a in x if a in first} for x in after]
     behind: list[list[int]] = [[] for _ in ids]
     for i, w in enumerate(waits):
@@ -90,43 +127,57 @@ def topological(ids: list[str], after: list[list[str]]) -> list[int | None]:
 
 
 def checked(calls: list[dict], schemas: dict[str, dict]) -> list[tuple]:
-    """(call_id, name, arguments as canonical JSON, position, error) of one message's calls."""
-    ids = [str(c.get("id")) for c in calls]
-    places = topological(ids, [[str(a) for a in c.get("after") or ()] for c in calls])
+    """(call_id, head, position, error) of one message's calls, whose values are JSON; head: the record up to the result's value."""
+    ids = [identifier(c.get("id")) for c in calls]
+    waits = [x if isinstance(x := c.get("after"), list) else [] for c in calls]
+    places = topological(ids, [[identifier(a) for a in x] for x in waits])
     out = []
     for c, i, p in zip(calls, ids, places):
-        schema = schemas.get(c.get("name"))
-        error = "cycle" if p is None else "unknown tool" if schema is None else violation(c.get("arguments"), schema)
-        out.append((i, None if c.get("name") is None else str(c["name"]), canonical(c.get("arguments")), p, error))
+        name = c.get("name")
+        schema = schemas.get(name) if isinstance(name, str) else None
+        if MALFORMED in c:
+            error = MALFORMED
+        elif p is None:
+            error = "cycle"
+        elif c.get("after") is not None and not isinstance(c["after"], list):
+            error = "$.after: not array"
+        elif schema is None:
+            error = "unknown tool"
+        else:
+            error = violation(c.get("arguments"), schema)
+        out.append((i, f'{{"arguments":{canonical(c.get("arguments"))},"id":{canonical(i)},"name":{canonical(name)},"result":', p, error))
     return out
 
 
-def tagged_events(role: str | None, turn: int, text: str) -> tuple[list[dict], list[tuple[str, str]]]:
-    """Calls in ``<tool_call>`` JSON of an assistant's message; the results of a tool's message, one JSON object."""
-    calls, results = [], []
+def tagged_events(role: str | None, turn: int | None, text: str) -> tuple[list[dict], list[tuple[str | None, str]]]:
+    """Calls in ``<tool_call>`` JSON of an assistant's message; the results of a tool's message, one JSON object or a list of them.
+
+    What can't be read is a malformed call with its text as arguments, or a result without an id with its text as content.
+    """
+    calls: list[dict] = []
+    results: list[tuple[str | None, str]] = []
     if role == "assistant":
         for m in CALL.finditer(text):
-            try:
-                c = json.loads(m[1])
-            except ValueError:
-                c = {"id": None, "name": None, "arguments": m[1].strip()}
-            calls.append(c if isinstance(c, dict) else {"id": None, "name": None, "arguments": c})
+            found = read(m[1])
+            calls.append(found[0] if found and isinstance(found[0], dict) and MALFORMED not in found[0] else {"arguments": m[1].strip(), MALFORMED: True})
     elif role == "tool":
-        try:
-            r = json.loads(text)
-            results = [(str(x.get("id")), canonical(x.get("content"))) for x in (r if isinstance(r, list) else [r])]
-        except (ValueError, AttributeError):
-            results = [("None", canonical(text))]
+        found = read(text)
+        given = found[0] if found and isinstance(found[0], list) else [found[0]] if found else []
+        if given and all(isinstance(x, dict) for x in given):
+            results = [(identifier(x.get("id")), canonical(x.get("content"))) for x in given]
+        elif not found or given:
+            results = [(None, canonical(text))]
     return calls, results
 
 
-def line_events(role: str | None, turn: int, text: str) -> tuple[list[dict], list[tuple[str, str]]]:
-    """A user's lines are calls, each after the line before; a reply's lines answer those of the turn before by number."""
+def line_events(role: str | None, turn: int | None, text: str) -> tuple[list[dict], list[tuple[str | None, str]]]:
+    """A user's lines are calls, each after the line before; a reply's lines answer those of the turn before by number.
+    Without a turn they have no id."""
     if role == "user":
-        lines = text.split("\n")
-        return [{"id": f"{turn}:{i}", "name": "reply_line", "arguments": {"line": x, "words": len(WORD.findall(x))}, "after": [f"{turn}:{i - 1}"] if i else []} for i, x in enumerate(lines)], []
+        ids = [None if turn is None else f"{turn}:{i}" for i in range(text.count("\n") + 1)]
+        return [{"id": k, "name": "reply_line", "arguments": {"line": x, "words": len(WORD.findall(x))}, "after": ids[i - 1 : i]} for i, (k, x) in enumerate(zip(ids, text.split("\n")))], []
     if role == "assistant":
-        return [], [(f"{turn - 1}:{i}", canonical(x)) for i, x in enumerate(text.split("\n"))]
+        return [], [(None if turn is None else f"{turn - 1}:{i}", canonical(x)) for i, x in enumerate(text.split("\n"))]
     return [], []
 
 
@@ -135,45 +186,37 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], events=tagged
 
     Returns conv_id, turn, call_id, position (in topological order of its message), status
     (linked, unanswered, orphan), valid, error, json. A call of an unknown tool, with
-    arguments against its schema, or in a cycle is invalid, and stays. Of results with one
-    id the first by (turn, index, content) counts; repeated calls each get it. A null text
-    is empty; a null role has no events; null conversations and turns count as -1. An empty
-    table gives an empty one; other columns are not read.
+    arguments against its schema, in a cycle, or one that can't be read (malformed) is invalid,
+    and stays. Of results with one id in a conversation the first by (turn, index, content)
+    counts; repeated calls each get it. A call or result without an id, or in a null
+    conversation, links with nothing and is a row of its own. A null text is empty; a null
+    role has no events; a null turn stays null and comes first. An empty table gives an empty
+    one; other columns are not read.
     """
-    chosen = messages.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-1)).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-
-    def table(rows: list[tuple], fields: str) -> pa.RecordBatch:
-        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        names, types = zip(*(f.split() for f in fields.split(", ")))
-        return pa.record_batch([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=names)
-
-    def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found, _ = events(role, turn, text)
-                rows += [(conv, turn, i, *c) for i, c in enumerate(checked(found, schemas))]
-            yield table(rows, CALL_FIELDS)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    names, types = zip(*(f.split() for f in EVENT_FIELDS.split(", ")))
 
-    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(conv, turn, i, k, v) for i, (k, v) in enumerate(events(role, turn, text)[1])]
-            yield table(rows, RESULT_FIELDS)
-
-    asked = chosen.mapInArrow(calls, CALL_FIELDS)
-    given = chosen.mapInArrow(results, RESULT_FIELDS)
-    given = given.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "idx", "content")).alias("r"))
-    given = given.select("conv_id", "call_id", F.col("r.turn").alias("r_turn"), F.col("r.content").alias("content"))
-    both = asked.join(given.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
-    is_call = F.col("arguments").isNotNull()
-    status = F.when(~is_call, "orphan").when(F.col("content").isNull(), "unanswered").otherwise("linked")
-    text = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).alias("x"))), F.lit(""))
-    quoted = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_extract(text(c), r'^\{"x":(.*)\}$', 1))
-    called = F.concat(F.lit('{"arguments":'), "arguments", F.lit(',"id":'), quoted("call_id"), F.lit(',"name":'), quoted("name"), F.lit(',"result":'), F.coalesce("content", F.lit("null")), F.lit("}"))
-    orphan = F.concat(F.lit('{"id":'), quoted("call_id"), F.lit(',"result":'), "content", F.lit("}"))
-    return both.select(
-        "conv_id", F.coalesce("turn", "r_turn").alias("turn"), "call_id", "position", status.alias("status"),
-        (is_call & F.col("error").isNull()).alias("valid"), "error", F.when(is_call, called).otherwise(orphan).alias("json"),
+                calls, results = events(role, turn, text)
+                rows += [(conv, turn, i, *c, None) for i, c in enumerate(checked(calls, schemas))]
+                rows += [(conv, turn, i, k, f'{{"id":{canonical(k)},"result":', None, None, v) for i, (k, v) in enumerate(results)]
+            yield pa.record_batch([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=names)
+
+    chosen = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    every = Written(chosen.mapInArrow(run, EVENT_FIELDS), "events").df
+    is_call, keyed = F.col("content").isNull(), F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    first = F.min(F.when(~is_call, F.struct("turn", "idx", "content", "head")))
+    keys = every.where(keyed).groupBy("conv_id", "call_id").agg(first.alias("r"), F.max(is_call).alias("called"))
+    answers = keys.where("called and r is not null").select("conv_id", "call_id", F.col("r.content").alias("content"))
+    linked = every.where(is_call & keyed).drop("content").join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    orphans = keys.where("not called").select("conv_id", "call_id", "r.*")
+    calls = linked.unionByName(every.where(is_call & ~keyed)).withColumn("called", F.lit(True))
+    results = orphans.unionByName(every.where(~is_call & ~keyed), allowMissingColumns=True).withColumn("called", F.lit(False))
+    status = F.when(~F.col("called"), "orphan").when(F.col("content").isNull(), "unanswered").otherwise("linked")
+    return calls.unionByName(results).select(
+        "conv_id", "turn", "call_id", "position", status.alias("status"), (F.col("called") & F.col("error").isNull()).alias("valid"), "error",
+        F.concat("head", F.coalesce("content", F.lit("null")), F.lit("}")).alias("json"),
     )

@@ -113,7 +113,7 @@ FROM v
 """
 
 ORACLE["op7_chat"] = r"""
-WITH m AS (SELECT coalesce(conv_id::BIGINT, -1) AS conv_id, coalesce(turn::BIGINT, -1) AS turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+WITH m AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
 calls AS (SELECT conv_id, turn, unnest(lines) AS line, unnest(range(len(lines)))::INTEGER AS position FROM m WHERE role = 'user'),
 asked AS (
   SELECT *, turn || ':' || position AS call_id, len(regexp_extract_all(line, '[^ \t\r\x0b\x0c]+')) AS words FROM calls
