@@ -2,8 +2,8 @@
 
 A text's words, lower-cased, are compressed once per language with that language's
 raw-content zstandard dictionary, in chunks, so that a long text can't serve as its own
-dictionary; the language with the smallest total wins. Learning takes a bounded sample of
-labelled rows, chosen by a hash, as raw dictionary content: nothing else is trained.
+dictionary; the language with the smallest total wins. Learning takes the whole texts of a
+bounded sample of labelled rows, chosen by a hash, as raw dictionary content: nothing else is trained.
 
 Compressed sizes are whole bytes, and a chunk that does not compress is stored raw in every
 language. So where the sizes are too few bytes to show the margin and tie, code lengths in
@@ -23,15 +23,14 @@ from pyspark.sql import functions as F
 
 from setloom.llm.common import arrow_rows
 
-#: Bound of the training sample: rows a language, characters of a row, bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 1 << 17
+#: Bound of the training sample: rows a language, whose whole texts are its dictionary, and languages.
+SAMPLE_ROWS, MOST_LANGUAGES = 80, 1000
 LEVEL, CHUNK_BYTES = 3, 512
 #: A text is rejected if the runner-up needs less than this share of bytes more than the winner.
 MARGIN = 0.002
 UNKNOWN = "und"
 #: Letters of context of the fractional code lengths.
 ORDER, UNSEEN_BITS = 3, 20.0
-LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -39,34 +38,38 @@ def words_of(text: str) -> str:
     return NO_LETTERS.sub(" ", text.lower())
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter; a number's sign, ½ or Ⅷ, is none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def held_out(id_col: str) -> Column:
     """crc32 of the id as text, mod 3, is 1."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def dictionaries(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
+def dictionaries(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """Raw dictionary content by language, from labelled rows that are not held out.
 
-    Bounded: at most about SAMPLE_ROWS rows of each language, and of each the SAMPLE_CHARS
-    characters from a place set by its hash. Counting is a partial aggregate; a language's
-    rate then brings the sampled rows, of fixed size, to the driver.
+    Bounded: about ``rows`` rows of each language, all of a language with fewer, and at most
+    MOST_LANGUAGES languages, beyond which it raises; their whole texts are learned. Counting
+    is a partial aggregate; a language's rate, against each row's hash, then names the rows
+    that come to the driver.
     """
-    known = df.select(F.col(id_col).alias("i"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), held_out(id_col).alias("held"))
+    known = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), held_out(id_col).alias("held"))
     known = known.where("lang is not null and text is not null and not coalesce(held, false) and text rlike '\\\\p{L}'")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: group the labels")
     if not counts:
         return {}
-    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_ROWS / n)))])
+    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
     spin = F.xxhash64("i", "text")
-    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     some = known.where(F.pmod(spin, F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
-    rows = some.select("lang", spin.alias("h"), F.substring("text", (F.pmod(F.xxhash64(spin), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t")).collect()
-    out: dict[str, bytes] = {}
-    for k in sorted(counts):
-        texts = [r["t"] for r in sorted((r for r in rows if r["lang"] == k), key=lambda r: (r["h"], r["t"]))]
-        content = " ".join(map(words_of, texts)).encode()[-DICTIONARY_BYTES:]
-        out[k] = content or b" "
-    return out
+    found: dict[str, list[tuple[int, str]]] = {k: [] for k in sorted(counts)}
+    for r in some.select("lang", spin.alias("h"), "text").collect():
+        found[r["lang"]].append((r["h"], r["text"]))
+    return {k: " ".join(words_of(t) for _, t in sorted(texts)).encode() or b" " for k, texts in found.items()}
 
 
 class CodeLengths:
@@ -124,7 +127,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); the margin is what the runner-up needs more, as a share of the winner."""
-        if text is None or not self.langs or LETTER.search(text) is None:
+        if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, 0.0
         words = words_of(text)
         data = words.encode()
@@ -160,7 +163,7 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text", keep:
     learned every text is ``und`` and only those without a letter are rejected. A tie in bytes, of a
     text too short for bytes to show the margin, is decided by fractional code lengths, margin
     included; any other tie goes to the language first in order, with margin 0, so it is rejected. One narrow pass: the
-    dictionaries (DICTIONARY_BYTES a language) go out with the function. Whole texts are
+    dictionaries (SAMPLE_ROWS texts a language) go out with the function. Whole texts are
     compressed, of any length. Rows, nulls and repeats are kept; an empty table gives an
     empty one; other columns are not read.
     """
@@ -177,7 +180,7 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text", keep:
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(len(keep))]
             lang, score, gap = ([x[i] for x in found] for i in range(3))
-            rejected = [LETTER.search(t.as_py() or "") is None or bool(model.langs) and g < margin for t, g in zip(batch.column(len(keep)), gap)]
+            rejected = [not has_letter(t.as_py()) or bool(model.langs) and g < margin for t, g in zip(batch.column(len(keep)), gap)]
             out = [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.record_batch(out, names=[*names, *results])
 
