@@ -20,6 +20,8 @@ from setloom.llm.common import running
 #: Default weights: a source's bytes to this power, so small sources gain without many repeats.
 TEMPER = 0.8
 PERIOD, BLOCK_BYTES = 1000, 1 << 16
+#: Repeats of a row that one task makes.
+EPOCHS = 64
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -27,13 +29,21 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def shares(sizes: DataFrame, targets: DataFrame | None, period: int) -> DataFrame:
-    """``sizes(src, total)`` with a, the integer share of each source, at least 1."""
+    """``sizes(src, total)`` with a, the integer share of each source, at least 1.
+
+    Weights of a source that ``targets(src, w)`` repeats add up; a missing or null one is zero.
+    One that is negative, infinite or no number is an error. If all are zero, all are equal.
+    """
     if targets is None:
         weighted = sizes.withColumn("w", F.pow(F.col("total").cast("double"), F.lit(TEMPER)))
     else:
-        weighted = sizes.join(targets.select(F.col("src"), F.col("w").cast("double")), "src", "left").fillna({"w": 0.0})
-    everything = F.sum("w").over(W.partitionBy(F.lit(0)))
-    quota = F.floor(F.col("w") / everything * F.lit(period)).cast("long")
+        w = F.col("w").cast("double")
+        bad = F.isnan(w) | (w < 0) | (w == float("inf"))
+        checked = F.when(bad, F.raise_error(F.concat(F.lit("no weight: "), w.cast("string"))).cast("double")).otherwise(F.coalesce(w, F.lit(0.0)))
+        weighted = sizes.join(targets.groupBy("src").agg(F.sum(checked).alias("w")), "src", "left").fillna({"w": 0.0})
+    every = W.partitionBy(F.lit(0))
+    part = F.when(F.sum("w").over(every) > 0, F.col("w") / F.nullif(F.sum("w").over(every), F.lit(0.0))).otherwise(F.lit(1.0) / F.count("*").over(every))
+    quota = F.floor(part * F.lit(period)).cast("long")
     return weighted.select("src", "total", F.greatest(quota, F.lit(1).cast("long")).alias("a"))
 
 
@@ -89,6 +99,7 @@ def mix(
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
     placement: bool = True,
+    most_repeats: int | None = None,
 ) -> DataFrame:
     """Columns ``keep`` (default id and source) with epoch, block and slot for every placement of a row.
 
@@ -96,8 +107,10 @@ def mix(
 
     Order the result by (slot, epoch, block) to read the mixture: block counts the blocks of
     the row's source, slot the blocks of all. ``targets(source, weight)`` sets the weights;
-    a source without one gets the least share, one of ``period``, and none is dropped.
-    Without targets, weights are bytes to the power TEMPER. There may be at most ``period``
+    a source without one, or with a weight of zero, gets the least share, one of ``period``, and
+    none is dropped; repeated targets add up; a negative, infinite or undefined weight raises.
+    Without targets, weights are bytes to the power TEMPER. A source far smaller than its share
+    repeats often; ``most_repeats`` raises where one would be placed more often than that. There may be at most ``period``
     sources: the table of sources is broadcast under that bound, and more raise an error.
     A null source is a source of its own, apart from the empty name. A null or empty text
     weighs one byte. Repeated rows are placed each; ties in the hashed order are equal rows.
@@ -119,9 +132,20 @@ def mix(
     )
     wanted = None if targets is None else targets.select(name(targets.columns[0]).alias("src"), F.col(f"`{targets.columns[1]}`").alias("w"))
     plan = horizon(schedule(shares(bound, wanted, period)), block_bytes)
-    placed = running(rows, ["src"], "spin", ["digest"], "bytes", "start").join(F.broadcast(plan), "src")
-    nth = F.col("epoch") * F.col("blocks") + _div(F.col("start"), F.lit(block_bytes))
-    last = _div(F.col("placed") - 1 - _div(F.col("start"), F.lit(block_bytes)), F.col("blocks"))
-    every = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if most_repeats is not None:
+        many = F.col("placed") > F.col("blocks") * F.lit(most_repeats)
+        plan = plan.withColumn("placed", F.when(many, F.raise_error(F.concat(F.lit(f"more than {most_repeats} repeats of source "), F.substring("src", 2, 1 << 30))).cast("long")).otherwise(F.col("placed")))
+    first_block = _div(F.col("start"), F.lit(block_bytes))
+    last = _div(F.col("placed") - 1 - first_block, F.col("blocks"))
+
+    def placed(some: DataFrame) -> DataFrame:
+        return running(some, ["src"], "spin", ["digest"], "bytes", "start").join(F.broadcast(plan), "src").withColumn("last", last)
+
+    # the rows of a source that repeats often go to several tasks before they are repeated
+    often = F.broadcast(plan.where(F.col("placed") > F.col("blocks") * EPOCHS).select("src"))
+    few = placed(rows.join(often, "src", "left_anti")).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    spans = placed(rows.join(often, "src", "left_semi")).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), "last", F.lit(EPOCHS).cast("long"))))
+    many = spans.repartition("digest", "from").withColumn("epoch", F.explode(F.sequence("from", F.least(F.col("from") + (EPOCHS - 1), "last")))).drop("from")
+    nth = F.col("epoch") * F.col("blocks") + first_block
     where = ["epoch", nth.alias("block"), _slot(nth).alias("slot")] if placement else []
-    return every.select(F.col("row.*"), *where)
+    return few.unionByName(many).select(F.col("row.*"), *where)

@@ -58,8 +58,25 @@ def place(df: DataFrame, names: list[str] | None = None, slots: int = SLOTS, id_
     return rows.join(F.broadcast(owners), "slot").select("row.*", "slot", "shard")
 
 
-def write_shards(df: DataFrame, path: str, names: list[str] | None = None, slots: int = SLOTS, id_col: str = "doc_id", files: int = 8) -> None:
-    """Write ``df`` as Parquet, a folder a shard; a shard's rows are salted over ``files`` tasks."""
-    placed = place(df, names, slots, id_col, keep=df.columns)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files))
-    placed.withColumn("_salt", salt).repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or that with as many underscores behind it as keep it from clashing with ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def write_shards(df: DataFrame, path: str, names: list[str] | None = None, slots: int = SLOTS, id_col: str = "doc_id", text: str = "text", files: int = 8) -> str:
+    """Write ``df`` as Parquet, a folder a shard; a shard's rows are salted over ``files`` tasks.
+
+    Returns the folders' column, ``shard`` or, where ``df`` has one, that with an underscore.
+    All columns of ``df`` are written, whatever their names. Rows without an id are keyed by text.
+    """
+    folder = unused("shard", df.columns)
+    salt = unused("salt", [*df.columns, folder])
+    rows = [f"_{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*rows)
+    placed = place(plain, names, slots, rows[df.columns.index(id_col)], rows[df.columns.index(text)], keep=rows).drop("slot")
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64(*rows), F.lit(files))).toDF(*df.columns, folder, salt)
+    salted.repartition(folder, salt).drop(salt).write.partitionBy(folder).parquet(path)
+    return folder

@@ -84,6 +84,30 @@ def test_mix_targets_and_bound(spark):
         mixing.mix(df.withColumn("source", F.col("doc_id").cast("string")), period=10).count()
 
 
+def test_odd_targets(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "x" * 100) for i in range(400)], "doc_id long, source string, text string")
+    given = lambda *rows: spark.createDataFrame(list(rows), "source string, weight double")
+    count = lambda *rows: Counter(r["source"] for r in mixing.mix(df, given(*rows), block_bytes=1000).collect())
+    assert count(("a", 1.0), ("a", 2.0), ("b", 1.0)) == count(("a", 3.0), ("b", 1.0))
+    assert count(("a", 0.0), ("b", 0.0)) == count(("a", 1.0), ("b", 1.0)) == {"a": 200, "b": 200}
+    assert count(("a", 1.0), ("b", None)) == count(("a", 1.0), ("b", 0.0)) == count(("a", 1.0), ("other", 5.0), ("b", 0.0))
+    for bad in (float("nan"), -1.0, float("inf")):
+        with pytest.raises(Exception, match="no weight"):
+            count(("a", bad), ("b", 1.0))
+
+
+def test_rows_that_repeat_often(spark):
+    df = spark.createDataFrame([(i, "big" if i else "one", "x" * 1000) for i in range(1501)], "doc_id long, source string, text string")
+    wanted = spark.createDataFrame([("big", 1.0), ("one", 1.0)], "source string, weight double")
+    out = mixing.mix(df, wanted, block_bytes=1000).collect()
+    one = sorted((r["epoch"], r["block"], r["slot"]) for r in out if r["source"] == "one")
+    assert len(one) > 20 * mixing.EPOCHS and [(e, b) for e, b, _ in one] == [(i, i) for i in range(len(one))]
+    assert len({r["slot"] for r in out}) == len(out) and max(r["slot"] for r in out) == len(out) - 1
+    with pytest.raises(Exception, match="repeats of source one"):
+        mixing.mix(df, wanted, block_bytes=1000, most_repeats=100).count()
+    assert mixing.mix(df, wanted, block_bytes=1000, most_repeats=2000).count() == len(out)
+
+
 def test_mix_plan_is_native(spark, sf):
     plan = op8_mixing(spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -54,6 +55,11 @@ def test_place(spark, tmp_path):
     sharding.write_shards(clean, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter(rows)
+    clash = df.selectExpr("doc_id", "text", "'z' AS shard", "5 AS _salt", "6 AS salt", "slot")
+    assert sharding.write_shards(clash, str(tmp_path / "c")) == "shard_"
+    back = spark.read.parquet(str(tmp_path / "c"))
+    assert Counter(map(tuple, back.select(*clash.columns).collect())) == Counter(map(tuple, clash.collect()))
+    assert {(r["doc_id"], r["text"], r["shard_"]) for r in back.collect()} == {(i, t, table[slot(i, t)]) for i, t in rows}
 
 
 PAGE = """<!doctype html><html><head><title>T</title><script>var a="<p>no</p>";</script><style>p{}</style></head><body>
@@ -167,7 +173,7 @@ def test_tagged_calls(spark):
     a, b = out[1, "a"], out[1, "b"]
     assert (a["position"], a["status"], a["valid"], a["json"]) == (0, "linked", True, '{"arguments":{"x":1},"id":"a","name":"add","result":"é\\n"}')
     assert (b["position"], b["status"], b["error"], json.loads(b["json"])["result"]) == (1, "unanswered", "$.x: out of range", None)
-    assert out[1, "None"]["error"] == "unknown tool" and out[1, "zz"]["status"] == "orphan" and out[2, "a"]["status"] == "unanswered"
+    assert out[1, None]["error"] == "malformed" and out[1, "zz"]["status"] == "orphan" and out[2, "a"]["status"] == "unanswered"
     assert chat.link_tool_calls(df.limit(0), schema).count() == 0
 
 
@@ -178,6 +184,53 @@ def test_schema_violations():
     assert v("ab", {"pattern": "^b"}) == "$: pattern" and v(3.0, {"type": "integer"}) is None
 
 
+def brute_link(messages, schemas):
+    calls, results = [], {}
+    for conv, turn, role, text in messages:
+        found, given = chat.tagged_events(role, turn, text or "")
+        calls += [(conv, turn, *c) for c in chat.checked(found, schemas)]
+        for i, (k, v) in enumerate(given):
+            results.setdefault((conv, k) if conv is not None and k is not None else object(), []).append(((turn is not None, turn, i, v), conv, turn, k, v))
+    out = [(conv, turn, k, p, e, results[conv, k] if k is not None and conv is not None and (conv, k) in results else None) for conv, turn, k, _, p, e in calls]
+    rows = [(conv, turn, k, p, "linked" if r else "unanswered", e) for conv, turn, k, p, e, r in out]
+    asked = {(c[0], c[2]) for c in calls if c[0] is not None and c[2] is not None}
+    return Counter(rows + [(min(r)[1], min(r)[2], min(r)[3], None, "orphan", None) for key, r in results.items() if key not in asked])
+
+
+ODD_JSON = ['{"id":1,"name":"f","arguments":{"x":1e999}}', '{"id":2,"name":"f","arguments":{"x":NaN}}', '{"id":3,"name":["f"],"arguments":{}}', '{"id":4,"name":"f","arguments":{"x":1},"after":7}', '{"id":5,"name":"f","arguments":{"x":"\\ud800"}}',
+            '{"id":6,"name":"f","arguments":' + "[" * 50_000 + "]" * 50_000 + "}", '{"name":"f","arguments":{"x":1}}', '{"id":null,"name":"f"}', '{"id":[1],"name":"f"}', "7", "[]", "", '{"id":8,"name":"f","arguments":{"x":1e2},"after":[8]}', '{"malformed":1,"id":9}',
+            '{"id":"z\\u001f\\u2028\\u0085","name":"f","arguments":{"x":2}}', '{"id":10,"name":"f","arguments":{"x":' + "9" * 5000 + "}}"]
+
+
+def test_odd_messages_crash_nothing_and_link_nothing_false(spark):
+    schema = {"f": {"type": "object", "properties": {"x": {"type": "integer"}}}}
+    rows = []
+    for conv in (None, -1, 1):
+        rows += [(conv, 0, "assistant", f"<tool_call>{c}</tool_call>" * (1 + i % 2)) for i, c in enumerate(ODD_JSON)]
+        rows += [(conv, 1, "tool", c) for c in (*ODD_JSON, '{"content":1}', '{"id":null,"content":2}', '{"id":8,"content":3}', '{"id":"8","content":4}', '[{"id":"z\\u001f\\u2028\\u0085","content":"\\u001f"},{"id":77}]', '[{"id":1},2]')]
+    rows += [(None, None, "tool", '{"id":8}'), (1, None, "assistant", '<tool_call>{"id":8}</tool_call>'), (1, None, "tool", '{"id":8,"content":"first"}'), (1, 0, "tool", None), (1, 0, None, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = chat.link_tool_calls(df, schema).collect()
+    assert Counter((r["conv_id"], r["turn"], r["call_id"], r["position"], r["status"], r["error"]) for r in got) == brute_link(rows, schema)
+    for r in got:
+        assert chat.canonical(json.loads(r["json"])) == r["json"]
+        assert r["status"] != "linked" or r["conv_id"] is not None and r["call_id"] is not None
+    assert {json.loads(r["json"])["result"] for r in got if r["conv_id"] == 1 and r["call_id"] == "8"} == {"first"}
+    assert chat.read("[" * 100_000) is None and chat.read("-Infinity") is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.floats() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["id", "name", "arguments", "after", "x"]), x, max_size=4), max_leaves=12))
+def test_any_json_is_a_call_or_malformed(value):
+    text = json.dumps(value)
+    schema = {"f": {"type": "object", "properties": {"x": {"type": "integer", "minimum": 0}}, "required": ["x"]}, "": {"type": "array"}}
+    calls, _ = chat.tagged_events("assistant", 0, f"<tool_call>{text}</tool_call><tool_call>{{\"name\":\"f\",\"arguments\":{text}}}</tool_call>")
+    for _, head, place, error in chat.checked(calls, schema):
+        assert (place is None) == (error == "cycle") or error == "malformed"
+        assert chat.canonical(json.loads(head + "null}")) == head + "null}"
+    chat.tagged_events("tool", 0, text)
+
+
 def test_chat_lines_are_canonical(spark, sf):
     for r in op7_chat(spark, sf).collect():
         assert chat.canonical(json.loads(r["json"])) == r["json"]
@@ -196,13 +249,56 @@ def test_language_id(spark, sf):
 def test_language_of_very_short_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = langid.Classifier(langid.dictionaries(docs))
-    short = [r for r in docs.where("lang is not null and size(split(trim(text), ' ')) <= 4").collect() if langid.LETTER.search(r["text"])]
+    short = [r for r in docs.where("lang is not null and size(split(trim(text), ' ')) <= 4").collect() if langid.has_letter(r["text"])]
     found = [model.predict(r["text"]) for r in short]
     assert len(short) > 20 and all(m >= langid.MARGIN for _, _, m in found)
     assert sum(k == r["lang"] for r, (k, _, _) in zip(short, found)) >= 0.9 * len(short)
     assert all(model.predict(t)[2] < langid.MARGIN for t in ("漢字 仮名", "щ", "漢字"))
 
 
+def test_prediction_equals_brute_force_compression(spark, sf):
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    content = langid.dictionaries(docs)
+    model = langid.Classifier(content)
+    decided = 0
+    for r in docs.where("text is not null").collect():
+        words = re.sub(r"[\W\d_]+", " ", r["text"].lower()).encode()
+        sizes = {}
+        for k, c in content.items():
+            plain = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=plain, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[k] = sum(len(packer.compress(words[i : i + 512])) for i in range(0, len(words), 512))
+        best = sorted((n, k) for k, n in sizes.items())
+        if best[0][0] < best[1][0]:
+            decided += 1
+            lang, score, margin = model.predict(r["text"])
+            assert lang == best[0][1] and margin == pytest.approx((best[1][0] - best[0][0]) / best[0][0])
+            assert score == pytest.approx(min(1, 0.5 + 2.5 * margin))
+    assert decided > 100
+
+
+def test_whole_texts_are_learned_and_languages_bounded(spark, monkeypatch):
+    long = "der " * 60_000 + "ende"
+    rows = [(0, long, "de"), (2, "the end", "en"), (3, "the start", "en")]
+    df = spark.createDataFrame([(i, t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 3 != 1], "doc_id long, text string, lang string")
+    content = langid.dictionaries(df)
+    assert all(t.encode() in content[k] for _, t, k in df.collect())
+    many = spark.createDataFrame([(i, f"text {'a' * i}", f"l{i % 40}") for i in range(1, 4000)], "doc_id long, text string, lang string")
+    some = langid.dictionaries(many, rows=5)
+    assert len(some) == 40 and 2 <= sum(c.count(b"text") for c in some.values()) / 40 <= 10
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 39)
+    with pytest.raises(ValueError, match="languages"):
+        langid.dictionaries(many)
+
+
+def test_number_signs_are_no_letters(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² Ⅷ ①", "½a", "́", "ʰ", "漢"])], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, {"en": b"the house", "de": b"das haus"}).collect()}
+    assert got[0] == got[2] == "und" and "und" not in (got[1], got[3], got[4])
+
+
 def test_language_id_odd_rows(spark):
     r = random.Random(1)
     made = [(i, " ".join(r.choices(["the", "house", "with", "water"] if i % 2 else ["das", "haus", "mit", "wasser"], k=40)), "en" if i % 2 else "de") for i in range(60)]
