@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from setloom.llm.common import running
+from setloom.llm.common import Written, running
 
 #: Default weights: a source's bytes to this power, so small sources gain without many repeats.
 TEMPER = 0.8
@@ -135,6 +135,7 @@ def mix(
     if most_repeats is not None:
         many = F.col("placed") > F.col("blocks") * F.lit(most_repeats)
         plan = plan.withColumn("placed", F.when(many, F.raise_error(F.concat(F.lit(f"more than {most_repeats} repeats of source "), F.substring("src", 2, 1 << 30))).cast("long")).otherwise(F.col("placed")))
+    plan = Written(plan, "mixture").df  # a row a source, read by both branches below
     first_block = _div(F.col("start"), F.lit(block_bytes))
     last = _div(F.col("placed") - 1 - first_block, F.col("blocks"))
 
