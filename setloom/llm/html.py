@@ -11,6 +11,7 @@ region is kept, short ones too, but for blocks of links.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,18 +23,23 @@ from pyspark.sql import functions as F
 from setloom.llm.common import arrow_rows
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 #: Elements whose text is never content.
-DROPPED = frozenset("script style noscript template head title iframe object embed svg math canvas audio video select option optgroup datalist button textarea input form fieldset nav aside footer dialog menu map progress meter".split())
+DROPPED = frozenset("script style noscript template head title iframe object embed svg annotation annotation-xml canvas audio video select option optgroup datalist button textarea input form fieldset nav aside footer dialog menu map progress meter".split())
 LANDMARKS = frozenset(("article", "main"))
 CONTAINERS = frozenset("section div td table body ul ol".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
-#: Words of a class or id that mark a container as something other than the article.
+#: Words that mark a container as something other than the article, where a name of its class or id has no word but these and PLACES.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar sidebar sidebars aside rail "
     "footer foot masthead topbar comment comments reply replies respond disqus share sharing social related recommended recommendations widget widgets copyright search login".split()
 )
+#: Words that say where or as what something stands, not what it holds.
+PLACES = frozenset("a above after area bar before below block body bottom box card cell col column container content desktop entry first fixed float floating global group head inner item items js large last left link links list main mobile of page panel post primary reader right row secondary section side site slot small sticky story the title to top unit user users wrap wrapper your".split())
 #: Words that mark an article element as something other than the article.
 REPLIES = frozenset("comment comments reply replies related teaser promo".split())
 #: As above, but only outside an article or main.
@@ -44,7 +50,7 @@ SOFT_WORDS = frozenset("sidebar sidebars rail header nav menu banner search logi
 #: With one of these a word says how a page is laid out, not what the element holds.
 NEUTRAL = frozenset("no has with without layout".split())
 HARD, SOFT, FORM = 3, 2, 1
-WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA, KERNEL = 1.0, 3
 #: What a character or a ratio in a landmark counts against one outside, and the links that make a block of links there.
 LANDMARK_WEIGHT, LANDMARK_LINKS = 4, 3
@@ -60,6 +66,9 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, int, tuple[int, int]]] = []  # tag, drop, landmark, region and the two counts before it
+        # how many of each tag are open, of all and since each landmark still open, its own element included
+        self.open_tags: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]
         self.hard = self.soft = self.form = self.landmarks = self.region = self.regions = 0
         self.parent, self.page = [0], {0}  # of each region its parent, and the regions of the page itself
         self.region_landmark = [0]  # the outermost landmark's region, 0 outside
@@ -96,9 +105,13 @@ class Lines(HTMLParser):
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
                 return HARD
             if key in ("class", "id") and tag not in ("body", "html", "main"):
-                words = {w.lower() for w in WORDS.findall(value)}
-                wrong = words & (REPLIES if tag == "article" else BOILERPLATE if self.landmarks else BOILERPLATE | OUTER)
-                if wrong and not words & NEUTRAL:
+                marks = REPLIES if tag == "article" else BOILERPLATE if self.landmarks else BOILERPLATE | OUTER
+                names = [{w.lower() for w in WORDS.findall(name)} for name in value.split()]
+                if any(words & NEUTRAL for words in names):
+                    continue
+                # a name that says more, as share-price-analysis does, is about its subject
+                wrong = set().union(*[words & marks for words in names if words <= marks | PLACES])
+                if wrong:
                     return SOFT if wrong <= SOFT_WORDS else HARD
         return 0
 
@@ -119,6 +132,10 @@ class Lines(HTMLParser):
         self.flush()
         landmark = not drop and (tag in LANDMARKS or any(k == "role" and v in LANDMARKS for k, v in attrs))
         self.open.append((tag, drop, landmark, self.region, (self.soft, self.form)))
+        if landmark:
+            self.scopes.append(Counter())
+        self.open_tags[tag] += 1
+        self.scopes[-1][tag] += 1
         self.hard += drop == HARD
         self.soft += drop == SOFT
         self.form += drop == FORM
@@ -144,17 +161,21 @@ class Lines(HTMLParser):
             self.flush()
         elif tag == "a" and self.in_link:
             self.in_link -= 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.flush()
-                for _, drop, landmark, region, soft in reversed(self.open[at:]):
-                    self.hard -= drop == HARD
-                    self.landmarks -= landmark
-                    self.region, (self.soft, self.form) = region, soft
-                del self.open[at:]
+        # a stray end tag does not close the article
+        if not (self.open_tags if tag in ("body", "html", *LANDMARKS) else self.scopes[-1])[tag]:
+            return
+        self.flush()
+        while True:
+            last, drop, landmark, region, soft = self.open.pop()
+            self.open_tags[last] -= 1
+            self.scopes[-1][last] -= 1
+            if landmark:
+                self.scopes.pop()
+            self.hard -= drop == HARD
+            self.landmarks -= landmark
+            self.region, (self.soft, self.form) = region, soft
+            if last == tag:
                 return
-            if self.open[at][2] and tag not in ("body", "html", *LANDMARKS):
-                return  # a stray end tag does not close the article
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:

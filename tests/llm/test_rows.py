@@ -117,6 +117,48 @@ def test_containers_side_by_side_stand_together():
     assert html.main_text(f"<body><div><div><p>{long}</p><p>{end}</p></div><div><p>{body[0]}</p><p>{lead}</p></div></div></body>") == " ".join([long, end, body[0], lead])
 
 
+@pytest.mark.parametrize("part", ["<div class='share-price-analysis'>%s</div>", "<section id=related-work><h2>Work</h2>%s</section>", "<div class='commentary'>%s</div>", "<p><math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> %s"])
+def test_names_of_the_subject_are_no_boilerplate(part):
+    body = "Words of the story go on and on. " * 12
+    for page in ("<nav><a href=x>Menu</a></nav><article><p>{0}</p>{1}<p>{0}</p></article><div class='comments-list'><p>{0}</div>", "<body><div><p>{0}</p>{1}<p>{0}</p></div><div class='reader-comments'><p>{0}</div></body>"):
+        text = html.main_text(page.format(body, part % "The part in the middle."))
+        assert text.count("The part in the middle.") == 1 and text.count("Words of the story") == 24
+    assert html.main_text("<article><p>As <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> says.</article>") == "As E=m says."
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.floats(0, 1e6), min_size=1, max_size=40))
+def test_smoothing_and_threshold_equal_brute_force(values):
+    import math
+
+    import numpy as np
+
+    weight = [math.exp(-d * d / 2) for d in range(-3, 4)]
+    at = lambda i: values[min(max(i, 0), len(values) - 1)]
+    want = [sum(w * at(i + d) for w, d in zip(weight, range(-3, 4))) / sum(weight) for i in range(len(values))]
+    assert html.smoothed(np.array(values)) == pytest.approx(want, rel=1e-9, abs=1e-9)
+    cut = html.threshold(np.array(values))
+    low, high = [v for v in values if v <= cut], [v for v in values if v > cut]
+    assert min(values) <= cut <= max(values)
+    if len(set(values)) > 1:
+        means = sum(low) / len(low), sum(high) / len(high)
+        assert low and high and (means[0] + means[1]) / 2 == pytest.approx(cut, rel=1e-6, abs=1e-6)
+        assert all(abs(v - means[0]) <= abs(v - means[1]) + 1e-6 * max(values) for v in low)
+
+
+def test_unclosed_and_stray_tags_take_linear_time():
+    import time
+
+    def took(n):
+        page = "<section><article>" + "<div>" * n + "</section></span></td></p>" * n + "text</article>"
+        began = time.process_time()
+        assert html.main_text(page) == "text"
+        return time.process_time() - began
+
+    took(500)
+    assert took(32_000) < 24 * max(took(4_000), 0.02)
+
+
 def test_pages_table(spark, sf):
     import html as std
     import re
