@@ -1,11 +1,18 @@
 """Near-duplicate removal by SimHash candidates and exact shingle similarity.
 
 At a Jaccard similarity of 0.8, 64-bit fingerprints of real texts differ in up to 17 bits,
-which no pigeonhole sharding reaches. So this stage takes 128-bit fingerprints, shards them
-by sampled bits in many tables, joins what lies within ``RADIUS`` bits in a shard's BK-tree
-into coarse groups, and then decides every link inside a coarse group by the exact Jaccard
-similarity of the shingle sets. Exact copies collapse first, so a group of copies costs one
-member. A coarse group is compared block by block; only spanning links leave a task.
+which no pigeonhole sharding reaches, and shards by sampled bits need ever more tables as the
+corpus grows. So this stage takes 128-bit fingerprints and deals them into shards by bands of
+min-wise samples of the shingles: BANDS of them at any size. What lies within ``RADIUS`` bits in
+a shard's BK-tree joins into coarse groups, and every link inside a coarse group is decided by
+the exact Jaccard similarity of the shingle sets. Exact copies collapse first, so a group of
+copies costs one member.
+
+Full shards and large groups are split. A full shard's members are also dealt by longer keys,
+and any shard that is full is searched in parts that share a few hub members. A large coarse
+group is compared in blocks that share hubs; what that leaves apart from the group's largest
+component, nothing in a group of near copies, is then compared with every other member. Only
+spanning links leave a task.
 
 Fingerprints of few shingles spread wider than RADIUS. So texts of up to SHORT shingles also
 meet exactly: sets of that similarity share one of the first shingles, in the order of their
@@ -19,18 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import Forest, Written, components, sorted_groups
+from setloom.llm.common import Written, components, sorted_groups
 from setloom.llm.simhash import SEED, spanning_links
 
 #: Of 128 bits: random texts differ in 64 +- 6, texts of similarity 0.8 in about 20 +- 4.
 BITS, RADIUS = 128, 31
-#: Share of differing bits for which the tables keep TABLE_RECALL of the pairs.
-FAR_BITS, TABLE_RECALL = 0.20, 0.95
-#: Members of a coarse group that are compared with each other in one task.
-BLOCK = 1000
+#: Sets of similarity s agree on a band's minima with chance s to the power BAND_ROWS: at 0.8 in one band of all with 0.994.
+BANDS, BAND_ROWS = 17, 6
+#: Members of a shard that one task searches; the bands and minima more of a full shard's longer keys.
+FULL, MORE_BANDS, MORE_ROWS = 4096, 6, 4
+#: Members that all parts of a shard or blocks of a group share.
+HUBS = 4
+#: Members of a coarse group, and shingles of them all, that are compared with each other in one task.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
 #: Shingles up to which a text meets every similar one, whatever the fingerprints.
 SHORT = 16
 
@@ -57,50 +68,107 @@ def wide_fingerprint(digests: np.ndarray) -> bytes:
     return np.packbits(2 * bits > len(digests)).tobytes()
 
 
-def _classes(width: int, most: int):
+#: Odd factors: the order of the products is a random order of the digests, another one for each factor.
+FACTORS = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(grams: np.ndarray) -> np.ndarray:
+    """Upper halves of the least products of a set's digests, one for each factor."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 512):
+        np.minimum(least, (grams[at : at + 512, None] * FACTORS).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def band_keys(samples: np.ndarray, bands: list[list[int]], seed: np.ndarray | int = 0) -> np.ndarray:
+    """(n, bands) keys that mix the named columns of ``samples`` (n, minima) and a seed a row."""
+    out = np.empty((len(samples), len(bands)), np.uint64)
+    for t, columns in enumerate(bands):
+        mixed = np.zeros(len(samples), np.uint64) + np.asarray(seed).astype(np.uint64) + np.uint64(t + 1)
+        for c in columns:
+            mixed = (mixed ^ samples[:, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        out[:, t] = mixed
+    return out.view(np.int64)
+
+
+def bands_of() -> list[list[int]]:
+    return [list(range(t * BAND_ROWS, (t + 1) * BAND_ROWS)) for t in range(BANDS)]
+
+
+def more_bands(band: int) -> list[list[int]]:
+    """The minima that lengthen a band's key: of other bands, as all of this one's are alike in a shard of it."""
+    total, first = BANDS * BAND_ROWS, (band + 1) * BAND_ROWS
+    return [[(first + s * MORE_ROWS + j) % total for j in range(MORE_ROWS)] for s in range(MORE_BANDS)]
+
+
+def _classes(width: int, most: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            same, fps, short = [], [], []
+            same, fps, samples, first, sizes = [], [], [], [], []
             for t in batch.column("text"):
                 text = t.as_py()
                 words = (text or "").encode().lower().split()
                 same.append(xxh3_128_digest(b" ".join(words)))
                 d = shingle_digests(text, width)
+                grams = gram_set(d)
                 fps.append(wide_fingerprint(d))
-                short.append(gram_set(d).tobytes() if 0 < len(d) <= most else None)
-            yield pa.record_batch([batch.column("row"), *[pa.array(x, pa.binary()) for x in (same, fps, short)]], names=["row", "same", "fp", "short"])
+                samples.append(minima(grams).tobytes() if len(d) else None)
+                first.append(grams[: len(d) - math.ceil(similarity * len(d) - 1e-9) + 1].view(np.int64).tolist() if 0 < len(d) <= most else None)
+                sizes.append(len(d))
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+            yield pa.record_batch([batch.column("row"), *map(pa.array, (same, fps, samples, first, sizes), kinds)], names=["row", "same", "fp", "minima", "first", "size"])
 
     return run
 
 
-def tables(n: int, most: int = 64) -> tuple[int, int]:
-    """(bits of a table's key, number of tables) for n fingerprints."""
-    m = max(8, math.ceil(math.log2(max(n, 1) / most)))
-    return m, math.ceil(math.log(1 - TABLE_RECALL) / math.log(1 - (1 - FAR_BITS) ** m))
+def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, band, node, fp): each node under its key in every band."""
+    for batch in batches:
+        n = batch.num_rows
+        samples = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(n, -1)
+        keys = band_keys(samples, bands_of())
+        for t in range(BANDS):
+            yield pa.record_batch([pa.array(keys[:, t]), pa.array(np.full(n, t, np.int32)), batch.column("node"), batch.column("fp")], names=["key", "band", "node", "fp"])
 
 
-def coarse_groups(nodes: DataFrame) -> DataFrame:
-    """(node, component) of ``nodes(node, fp)`` with another fingerprint within RADIUS bits in a shard."""
-    m, many = tables(nodes.count())
-    rng = np.random.Generator(np.random.PCG64(42))
-    chosen = np.stack([rng.choice(BITS, m, replace=False) for _ in range(many)])
+def deal_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``deal``, for the members (key, band, node, fp, minima) of full shards: under the band's longer keys."""
+    for batch in batches:
+        of = batch.column("band").to_numpy()
+        for band in np.unique(of).tolist():
+            some = batch.take(pa.array(np.flatnonzero(of == band)))
+            samples = np.frombuffer(b"".join(some.column("minima").to_pylist()), np.uint32).reshape(some.num_rows, -1)
+            keys = band_keys(samples, more_bands(band), some.column("key").to_numpy())
+            for t in range(MORE_BANDS):
+                yield pa.record_batch([pa.array(keys[:, t]), some.column("band"), some.column("node"), some.column("fp")], names=["key", "band", "node", "fp"])
+
+
+def _spin(s: int) -> Column:
+    return F.xxhash64("node", F.lit(s))
+
+
+def hubs_of() -> Column:
+    """An aggregate: the least hashes of a group's nodes, by which its hubs are known."""
+    return F.array(*[F.min(_spin(s)) for s in range(HUBS)])
+
+
+def in_parts(group: str, many: str) -> Column:
+    """The parts of its group that a member goes to: one by its hash, or all for a hub."""
+    own = F.pmod(F.xxhash64("node", group), F.col(many)).cast("int")
+    is_hub = F.arrays_overlap(F.array(*[_spin(s) for s in range(HUBS)]), F.col("hubs"))
+    return F.when((F.col(many) > 1) & is_hub, F.sequence(F.lit(0), F.col(many) - 1)).otherwise(F.array(own))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(n, 16)
-            bits = np.unpackbits(fps, axis=1)
-            weights = 1 << np.arange(m, dtype=np.int64)
-            for t in range(many):
-                key = (bits[:, chosen[t]].astype(np.int64) * weights).sum(1) * many + t
-                yield pa.record_batch([pa.array(key), batch.column("node"), batch.column("fp")], names=["key", "node", "fp"])
+
+def coarse_groups(nodes: DataFrame) -> DataFrame:
+    """(node, component) of ``nodes(node, fp, minima)`` with another fingerprint within RADIUS bits in a shard."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: list[int] = []
         v: list[int] = []
-        for group in sorted_groups(batches, ["key"]):
+        for group in sorted_groups(batches, ["key", "part"]):
             if group.num_rows > 1:
                 node_of: dict[int, int] = {}
                 for node, fp in zip(group.column("node").to_pylist(), group.column("fp").to_pylist()):
@@ -116,80 +184,127 @@ def coarse_groups(nodes: DataFrame) -> DataFrame:
                 u, v = [], []
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    dealt = nodes.mapInArrow(keys, "key long, node long, fp binary").repartition("key").sortWithinPartitions("key")
-    return components(dealt.mapInArrow(link, "u long, v long"))
-
-
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for t in batch.column("text"):
-                sets.append(gram_set(shingle_digests(t.as_py(), width)).tobytes())
-            columns = [batch.column(c) for c in ("component", "node", "fp")]
-            yield pa.record_batch([*columns, pa.array(sets, pa.binary())], names=["component", "node", "fp", "grams"])
-
-    return run
+    def full(dealt: DataFrame) -> DataFrame:
+        # written, so that its size is known: it is tiny unless shards are hot, and then Spark may broadcast it
+        counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FULL)
+        counts = Written(counts.select("key", F.ceil(F.col("n") / F.lit(FULL)).cast("int").alias("parts")), "full-shards").df
+        hubs = dealt.join(counts.select("key"), "key", "left_semi").groupBy("key").agg(hubs_of().alias("hubs"))
+        return Written(counts.join(hubs, "key"), "full-shard-hubs").df
+
+    def parted(dealt: DataFrame, many: DataFrame) -> DataFrame:
+        some = dealt.join(many, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        return some.select("key", F.explode(in_parts("key", "parts")).alias("part"), "node", "fp")
+
+    shards = "key long, band int, node long, fp binary"
+    dealt = nodes.mapInArrow(deal, shards)
+    many = full(dealt)
+    crowded = dealt.join(many.select("key"), "key", "left_semi").select("key", "band", "node")
+    longer = crowded.join(nodes, "node").select("key", "band", "node", "fp", "minima").mapInArrow(deal_longer, shards)
+    every = parted(dealt, many).unionByName(parted(longer, full(longer)))
+    every = every.repartition("key", "part").sortWithinPartitions("key", "part")
+    return components(every.mapInArrow(link, "u long, v long"))
+
+
+def overlaps(grams: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many members each set of ``rows`` has in common with each of ``columns``."""
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    _, which, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    often = times > 1  # what one set alone has counts in no overlap
+    owner, which = owner[often[which]], (np.cumsum(often) - 1)[which[often[which]]]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for low in range(0, int(often.sum()), 2048):
+        a, b = np.searchsorted(which, (low, low + 2048))
+        have = np.zeros((len(grams), 2048), np.float32)
+        have[owner[a:b], which[a:b] - low] = 1
+        out += have[rows] @ have[columns].T
+    return out
 
 
-def similar_links(nodes: list[int], fps: list[bytes], grams: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def similar_links(nodes: list[int], grams: list[np.ndarray], similarity: float, label: np.ndarray | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links of the pairs whose shingle sets have Jaccard similarity of ``similarity`` or more.
 
-    A pair already joined is not compared again. Sizes too far apart rule a pair out exactly.
+    With ``left``, of the pairs of a member there with one that isn't. Members of equal ``label``
+    are joined already, and no link between them is given.
     """
     size = np.array([len(g) for g in grams], np.int64)
-    halves = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, 2)
-    forest, out = Forest(len(nodes)), []
-    label = np.arange(len(nodes))
-    for i in np.argsort(-size, kind="stable"):
-        near = np.bitwise_count(halves ^ halves[i]).sum(1, dtype=np.int64) <= BITS * 3 // 8
-        fits = np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i])
-        for j in np.flatnonzero(near & fits & (label != label[i])).tolist():
-            if label[j] == label[i]:
-                continue
-            both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
-            if both >= similarity * (size[i] + size[j] - both):
-                forest.union(int(i), j)
+    label = np.arange(len(nodes)) if label is None else np.unique(label, return_inverse=True)[1]
+    rows = np.arange(len(nodes)) if left is None else np.flatnonzero(left)
+    columns = rows if left is None else np.flatnonzero(~left)
+    out: list[tuple[int, int]] = []
+    both = overlaps(grams, rows, columns) if len(rows) * len(columns) > 64 else None
+    for k, i in enumerate(rows.tolist()):
+        apart = label[columns] != label[i]
+        if both is None:
+            fits = np.minimum(size[columns], size[i]) >= similarity * np.maximum(size[columns], size[i])
+            some = np.flatnonzero(apart & fits)
+            common = np.array([len(np.intersect1d(grams[i], grams[columns[c]], assume_unique=True)) for c in some.tolist()], np.int64)
+        else:
+            some = np.flatnonzero(apart)
+            common = both[k, some].astype(np.int64)
+        for j in columns[some[common >= similarity * (size[i] + size[columns[some]] - common)]].tolist():
+            if label[j] != label[i]:
                 label[label == label[j]] = label[i]
                 out.append((nodes[i], nodes[j]))
     return out
 
 
-def compared(grams: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) within each component of ``grams(component, node, fp, grams)``, in the blocks of ``sizes(component, blocks)``."""
-    grams = grams.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = grams.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "fp", "grams"
-    )
-    dealt = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["component", "i", "j"]):
-            grams = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
-            found = similar_links(group.column("node").to_pylist(), group.column("fp").to_pylist(), grams, similarity)
-            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-    return dealt.mapInArrow(link, "u long, v long")
-
+def group_links(members: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) that join what ``similarity`` joins inside each group of ``members(component, node, size)``.
 
-def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of ``nodes(node, short)`` that join all pairs of that similarity: exact, by shared first shingles."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, at = [], []
-            for i, g in enumerate(batch.column("short").to_pylist()):
-                grams = np.frombuffer(g, np.int64)
-                some = grams[: len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1]
-                keys += some.tolist()
-                at += [i] * len(some)
-            rows = batch.take(pa.array(at, pa.int64()))
-            fps = pa.array([bytes(BITS // 8)] * len(at), pa.binary())  # equal, so that no pair is ruled out by them
-            yield pa.record_batch([pa.array(keys, pa.int64()), rows.column("node"), fps, rows.column("short")], names=["component", "node", "fp", "grams"])
-
-    keyed = nodes.where("short is not null").select("node", "short").mapInArrow(first, "component long, node long, fp binary, grams binary")
-    sizes = keyed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    return compared(keyed, sizes, similarity)
+    A group is dealt in blocks, each with the group's hubs. Where it has several, the members
+    that this leaves outside its largest component are compared with all members of other
+    blocks too, so no pair of different components stays uncompared.
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), blocks.alias("blocks"), hubs_of().alias("hubs"))
+    sizes = Written(sizes.where("n > 1").select("component", "blocks", "hubs"), "group-sizes").df
+    placed = members.join(sizes, "component")
+
+    def with_grams(rows: DataFrame, columns: str) -> DataFrame:
+        names = [c.split()[0] for c in columns.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [gram_set(shingle_digests(t.as_py(), width)).tobytes() for t in batch.column("text")]
+                yield pa.record_batch([*[batch.column(c) for c in names], pa.array(sets, pa.binary())], names=[*names, "grams"])
+
+        return rows.join(texts, "node").select(*names, "text").mapInArrow(run, f"{columns}, grams binary")
+
+    def pairs(rows: DataFrame, parts: list[str]) -> DataFrame:
+        """Links of ``rows(component, *parts, node, label, side, grams)``; a null side is on both."""
+
+        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in sorted_groups(batches, ["component", *parts]):
+                grams = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
+                label, side = group.column("label").to_numpy(), group.column("side")
+                left = None if side.null_count else np.array(side.to_pylist(), bool)
+                found = similar_links(group.column("node").to_pylist(), grams, similarity, label, left) if len(grams) > 1 else []
+                component = pa.array([group.column("component")[0].as_py()] * len(found), pa.int64())
+                yield pa.record_batch([component, *[pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]], names=["component", "u", "v"])
+
+        dealt = rows.repartition("component", *parts).sortWithinPartitions("component", *parts)
+        return dealt.mapInArrow(link, "component long, u long, v long")
+
+    at = placed.withColumn("at", in_parts("component", "blocks"))
+    some = with_grams(at, "component long, node long, at array<int>").select("component", F.explode("at").alias("i"), "node", F.col("node").alias("label"), F.lit(None).cast("boolean").alias("side"), "grams")
+    first = Written(pairs(some, ["i"]), "block-links").df
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return first.select("u", "v")
+    joined = components(first.join(large.select("component"), "component", "left_semi").select("u", "v")).select("node", F.col("component").alias("label"))
+    labelled = Written(placed.where("blocks > 1").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled").df
+    major = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("major"))
+    minor = labelled.join(major, "component").where("label <> major")
+    counts = minor.groupBy("component").agg(blocks.alias("others"), F.max("major").alias("major"))
+    dealt = labelled.join(counts, "component")
+    own, other = (F.pmod(F.xxhash64("node", F.lit(s)), F.col(c)).cast("int") for s, c in ((0, "blocks"), (1, "others")))
+    rest = with_grams(dealt.select("component", "node", "label", "blocks", "others", own.alias("b"), F.when(F.col("label") != F.col("major"), other).alias("o")), "component long, node long, label long, blocks int, others int, b int, o int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rest.select("component", F.col("b").alias("i"), spread("others").alias("j"), "node", "label", F.lit(True).alias("side"), "grams")
+    right = rest.where("o is not null").select("component", spread("blocks").alias("i"), F.col("o").alias("j"), "node", "label", F.lit(False).alias("side"), "grams")
+    return first.select("u", "v").unionByName(pairs(left.unionByName(right), ["i", "j"]).select("u", "v"))
 
 
 def near_duplicate_groups(df: DataFrame, row: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -197,17 +312,16 @@ def near_duplicate_groups(df: DataFrame, row: str, text: str, width: int = 5, si
 
     ``row`` is a unique, non-null long.
     """
-    spark = df.sparkSession
     slim = df.select(F.col(row).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    each = Written(slim.mapInArrow(_classes(width, math.floor(SHORT / similarity)), "row long, same binary, fp binary, short binary"), "wide-fingerprints").df
-    nodes = Written(each.groupBy("same").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("short").alias("short")), "text-classes").df
+    found = slim.mapInArrow(_classes(width, math.floor(SHORT / similarity), similarity), "row long, same binary, fp binary, minima binary, first array<long>, size long")
+    each = Written(found, "wide-fingerprints").df
+    kept = ["fp", "minima", "first", "size"]
+    nodes = Written(each.groupBy("same").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in kept]), "text-classes").df
     # texts without a word are copies of each other and of nothing else
-    coarse = Written(coarse_groups(nodes.where(F.col("fp") != F.lit(bytes(16))).select("node", "fp")), "coarse").df
-    sizes = coarse.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = coarse.join(sizes, "component").join(nodes.select("node", "fp"), "node")
-    with_text = placed.join(slim.withColumnRenamed("row", "node"), "node")
-    grams = with_text.select("component", "node", "fp", "text").mapInArrow(_sets(width), "component long, node long, fp binary, grams binary")
-    links = compared(grams, sizes, similarity).unionByName(short_links(nodes, similarity))
+    coarse = coarse_groups(nodes.where("minima is not null").select("node", "fp", "minima")).join(nodes.select("node", "size"), "node")
+    short = nodes.select(F.explode("first").alias("component"), "node", "size")
+    members = Written(coarse.select("component", "node", "size").unionByName(short), "coarse").df
+    links = group_links(members, slim.withColumnRenamed("row", "node"), width, similarity)
     linked = Written(components(links), "similar").df
     group_of = nodes.select("same", "node").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("group"))
     return each.select("row", "same").join(group_of, "same").select("row", "group")

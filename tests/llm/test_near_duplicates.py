@@ -133,9 +133,82 @@ def test_drop_near_duplicates(spark):
 def test_similar_links_are_exact():
     a = np.arange(100, dtype=np.uint64)
     sets = [a, np.r_[a[:89], a[:11] + np.uint64(1000)], np.r_[a[:88], a[:12] + np.uint64(1000)]]
-    fp = bytes(16)
-    assert simhash_dedup.similar_links([1, 2], [fp] * 2, sets[:2], 0.8) == [(1, 2)]
-    assert simhash_dedup.similar_links([1, 3], [fp] * 2, [sets[0], sets[2]], 0.8) == []
+    assert simhash_dedup.similar_links([1, 2], sets[:2], 0.8) == [(1, 2)]
+    assert simhash_dedup.similar_links([1, 3], [sets[0], sets[2]], 0.8) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_links_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.choice(5000, rng.integers(1, 60), replace=False) for _ in range(6)]
+    grams = []
+    for _ in range(4 if seed == 3 else 60):
+        b = base[rng.integers(6)]
+        kept = b[rng.random(len(b)) > 0.1 * rng.random()]
+        grams.append(np.unique(np.r_[kept, rng.integers(5000, 9000, rng.integers(1, 4))]).astype(np.uint64))
+    n = len(grams)
+    near = lambda i, j: len(np.intersect1d(grams[i], grams[j])) >= 0.8 * len(np.union1d(grams[i], grams[j]))
+    links = {tuple(sorted(x)) for x in simhash_dedup.similar_links(list(range(n)), grams, 0.8)}
+    assert all(near(*x) for x in links) and len(links) < n
+    assert brute_components(range(n), lambda i, j: (i, j) in links) == brute_components(range(n), near)
+    left, label = rng.random(n) < 0.5, np.arange(n) % 3
+    links = {tuple(sorted(x)) for x in simhash_dedup.similar_links(list(range(n)), grams, 0.8, label, left)}
+    assert all(near(i, j) and left[i] != left[j] and label[i] != label[j] for i, j in links)
+    joined = lambda i, j: label[i] == label[j]
+    assert brute_components(range(n), lambda i, j: joined(i, j) or (i, j) in links) == brute_components(range(n), lambda i, j: joined(i, j) or near(i, j) and left[i] != left[j])
+
+
+def test_split_shards_and_groups_lose_no_link(spark, monkeypatch):
+    """One third are near copies of one text, others share a passage and have copies among themselves."""
+    for name, value in (("FULL", 16), ("BLOCK", 12)):
+        monkeypatch.setattr(simhash_dedup, name, value)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base, passage = r.choices(words, k=120), r.choices(words, k=70)
+    texts = []
+    for k in range(90):
+        w = list(base)
+        w[r.randrange(120)] = f"x{k}"
+        texts.append(" ".join(w))
+    for k in range(60):
+        own = r.choices(words, k=30)
+        texts += [" ".join(passage + own), " ".join(passage + own + r.choices(words, k=4))]
+    for k in range(40):  # a chain: each links with the next alone
+        texts.append(" ".join(f"c{i}" for i in range(9 * k, 9 * k + 104)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(x["doc_id"] for x in simhash_dedup.drop_near_duplicates(df).collect())
+    want = brute_components(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(set(want.values())) <= 65
+    missed = set(got) - set(want.values())
+    assert set(got) >= set(want.values()) and len(missed) <= 3
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Planted pairs of similarity 0.80 to 0.85, by length, among others that share passages."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    passage, rows, pairs = [word() for _ in range(60)], [], []
+    for k in range(900):
+        n = (30, 60, 150, 400, 1500)[k % 5]
+        a = [word() for _ in range(n)]
+        if k % 3 == 0:
+            m = min(60, n // 4)
+            a[n // 2 : n // 2 + m] = passage[:m]
+        b = list(a)
+        while True:  # a changed word costs up to five shingles
+            c = list(b)
+            c[r.randrange(n)] = word()
+            if jaccard(" ".join(a), " ".join(c)) < 0.8:
+                break
+            b = c
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append((n, 2 * k + 1))
+    kept = {x["doc_id"] for x in simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in range(900))
+    for n in (30, 60, 150, 400, 1500):
+        of = [i for m, i in pairs if m == n]
+        print(n, sum(i not in kept for i in of) / len(of))
+        assert sum(i not in kept for i in of) >= 0.95 * len(of), n
 
 
 def test_short_texts_at_the_threshold_all_link(spark):
