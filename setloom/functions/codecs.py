@@ -9,7 +9,13 @@ import struct
 AUTOTAGS, BEATGRID, MARKERS, OVERVIEW = "Serato Autotags", "Serato BeatGrid", "Serato Markers2", "Serato Overview"
 MIME, GRID_FOOTER, MARKERS_LENGTH, BEATS_PER_MARKER = "application/octet-stream", 0x37, 470, 8
 CUE_COLORS = [0xCC0000, 0xCC4400, 0xCC8800, 0x88CC00, 0x00CC44, 0x00CCCC, 0x0044CC, 0x8800CC]
-NEW_PADDING, OLD_PADDING = 1024, 2048
+NEW_PADDING, OLD_PADDING, TAG_PADDING = 1024, 2048, 4096
+#: The frame of each field that may be edited, with its description if it needs one.
+FIELD_FRAMES = {
+    "title": ("TIT2", None), "artist": ("TPE1", None), "album": ("TALB", None), "genre": ("TCON", None), "year": ("TYER", None),
+    "bpm": ("TBPM", None), "key": ("TKEY", None), "comment": ("COMM", "pyro"), "camelot": ("TXXX", "CAMELOT"),
+}
+NUMBER_FRAMES, COMMENT_LANGUAGE = ("TYER", "TBPM"), b"eng"
 
 
 def synchsafe(data: bytes) -> int:
@@ -137,6 +143,46 @@ def read_geob(data: bytes) -> dict[str, bytes]:
     return out
 
 
+def _strings(body: bytes) -> list[str]:
+    """The strings of a text frame, whose first byte names their encoding."""
+    encoding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0] if body else -1)
+    if encoding is None:
+        return []
+    # each string of UTF-16 may have a mark of its byte order
+    return [x.lstrip("\ufeff") for x in body[1:].decode(encoding, "replace").split("\0") if x.strip("\ufeff")]
+
+
+def read_text(data: bytes) -> dict[str, list[str]]:
+    """The strings of every text frame by its name; a user-defined one by TXXX: and its description."""
+    out: dict[str, list[str]] = {}
+    for name, body, _ in _frames(data):
+        if name[:1] == b"T" and (found := _strings(body)):
+            key = name.decode()
+            if name == b"TXXX":
+                key, found = f"TXXX:{found[0]}", found[1:]
+            out.setdefault(key, found)
+    return out
+
+
+def encode_text(name: str, text: str, description: str | None = None) -> bytes:
+    """A text frame in UTF-16; numbers are written in Latin-1. A comment has a language."""
+    marked = lambda x: b"\xff\xfe" + x.encode("utf-16-le")
+    if name in NUMBER_FRAMES:
+        body = b"\0" + text.encode("latin-1", "replace")
+    elif description is None:
+        body = b"\x01" + marked(text)
+    else:
+        body = b"\x01" + (COMMENT_LANGUAGE if name == "COMM" else b"") + marked(description) + b"\0\0" + marked(text)
+    return name.encode() + struct.pack(">I", len(body)) + b"\0\0" + body
+
+
+def standard_tag(data: bytes, edits: dict[str, str]) -> bytes:
+    """The file with a new tag of the edited fields alone, in place of the one it had."""
+    body = b"".join(encode_text(FIELD_FRAMES[k][0], v, FIELD_FRAMES[k][1]) for k, v in edits.items()) + bytes(TAG_PADDING)
+    tag = _tag(data)
+    return b"ID3\x03\0\0" + to_synchsafe(len(body)) + body + (data if tag is None else data[tag[3] :])
+
+
 def inject_geob(data: bytes, frames: dict[str, bytes]) -> bytes:
     """The file with the frames behind those it has, or with a new tag; same-named frames are not removed."""
     if (tag := _tag(data)) is None:

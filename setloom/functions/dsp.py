@@ -19,7 +19,9 @@ HARMONICS = [1, 0.5, 0.33, 0.25]
 MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
 MINOR = [6.33, 2.68, 3.52, 5.38, 2.6, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
 TARGET_LUFS, ABSOLUTE_GATE, RELATIVE_GATE = -14.0, -70.0, -10.0
-OVERVIEW_COLUMNS, OVERVIEW_BANDS, PEAK_BINS = 240, 16, 512
+OVERVIEW_COLUMNS, OVERVIEW_BANDS, PEAK_BINS, DISPLAY_BARS = 240, 16, 512, 220
+#: Samples that a filter takes at once.
+FILTER_BLOCK = 128
 
 
 def clamp01(x: float) -> float:
@@ -234,7 +236,12 @@ def constant_regions(beats: np.ndarray) -> list[tuple[float, float, int]]:
     """(first beat, beat length, beats) of successive longest constant stretches."""
     out, left = [], 0
     while left < len(beats) - 1:
-        right = next((r for r in range(len(beats) - 1, left, -1) if _constant(beats[left : r + 1])), None)
+        # what the first beat and the borders alone rule out needs no look at the beats between
+        ends = np.arange(left + 1, len(beats))
+        mean = (beats[ends] - beats[left]) / (ends - left)
+        border = np.where(ends - left > 2, np.abs(beats[left + 1] - beats[left] + beats[ends] - beats[ends - 1] - 2 * mean), 0.0)
+        fits = (np.abs(beats[left] + mean - beats[left + 1]) <= PHASE_ERROR * (1 + 1e-9)) & (border < PHASE_ERROR / 2 * (1 + 1e-9))
+        right = next((r for r in ends[fits][::-1].tolist() if _constant(beats[left : r + 1])), None)
         if right is None:
             left += 1
             continue
@@ -300,14 +307,26 @@ def key_of(chroma_bins: np.ndarray) -> dict:
 
 
 def _biquad(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, float]) -> np.ndarray:
-    feed = np.convolve(x.astype(float), b)[: len(x)].tolist()
-    out, y1, y2 = [0.0] * len(feed), 0.0, 0.0
+    """A second-order filter, block by block: what a block's input gives is one product with the impulse
+    response, and only the two values that cross to the next block are carried in a loop."""
+    if not len(x):
+        return np.zeros(0, np.float32)
     a1, a2 = a
-    for i, f in enumerate(feed):
-        y = f - a1 * y1 - a2 * y2
-        out[i] = y
-        y1, y2 = y, y1
-    return np.array(out, np.float32)
+    feed = np.convolve(x.astype(float), b)[: len(x)]
+    n = -(-len(feed) // FILTER_BLOCK)
+    impulse = [1.0, -a1]
+    while len(impulse) < FILTER_BLOCK + 2:
+        impulse.append(-a1 * impulse[-1] - a2 * impulse[-2])
+    h = np.array(impulse)
+    lag = np.arange(FILTER_BLOCK)[:, None] - np.arange(FILTER_BLOCK)
+    own = np.pad(feed, (0, n * FILTER_BLOCK - len(feed))).reshape(n, FILTER_BLOCK) @ np.where(lag >= 0, h[np.maximum(lag, 0)], 0.0).T
+    # the response to the two values before a block: the last one, and the one before it
+    one, two = h[1 : FILTER_BLOCK + 1], -a2 * h[:FILTER_BLOCK]
+    carried, y1, y2 = np.zeros((n, 2)), 0.0, 0.0
+    for i, (u, v) in enumerate(zip(own[:, -1].tolist(), own[:, -2].tolist())):
+        carried[i] = y1, y2
+        y1, y2 = u + one[-1] * y1 + two[-1] * y2, v + one[-2] * y1 + two[-2] * y2
+    return (own + carried @ np.stack([one, two])).ravel()[: len(feed)].astype(np.float32)
 
 
 def k_weighting(rate: float) -> list[tuple[tuple[float, float, float], tuple[float, float]]]:
@@ -408,8 +427,13 @@ def overview(x: np.ndarray, rate: float) -> bytes:
     return head + js_round(out).astype(np.uint8).tobytes()
 
 
-def display_bars(values: list[float], n: int = 220) -> list[float]:
-    return [values[int(i * len(values) / n)] for i in range(n)] if values else [0.3 + 0.2 * math.sin(i / 7) for i in range(n)]
+def display_bars(values: list[float], n: int = DISPLAY_BARS) -> list[float]:
+    """``n`` of the peaks, evenly spaced; without peaks a swell with a fixed jitter."""
+    if values:
+        return [clamp01(values[int(i * len(values) / n)]) for i in range(n)]
+    # The swell and its jitter.
+    swell = [0.35 + 0.55 * math.sin(i / max(1, n - 1) * math.pi) for i in range(n)]
+    return [clamp01(s + 0.12 * math.fmod(math.sin(i * 12.9898) * 43758.5453, 1.0)) for i, s in enumerate(swell)]
 
 
 def quality_label(bpm_confidence: float, stable: bool, key_confidence: float) -> str:

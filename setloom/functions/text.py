@@ -188,6 +188,11 @@ def minutes(seconds: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60)
 
 
+def countdown(seconds: Column) -> Column:
+    """m:ss from a minute on, else whole seconds, begun ones counted."""
+    return F.when(seconds >= 60, minutes(seconds)).otherwise(F.concat(F.ceil(seconds).cast("string"), F.lit("s")))
+
+
 def age(then_ms: Column, now_ms: Column) -> Column:
     s = F.floor((now_ms - then_ms) / 1000).cast("long")
     unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))

@@ -93,6 +93,31 @@ def glide_rate(start: Column, end: Column, length: Column, elapsed: Column) -> C
     return start * F.pow(end / start, x)
 
 
+def played_seconds(start: Column, rate: Column, segments: Column, now: Column) -> Column:
+    """Track seconds from ``start`` to ``now`` at ``rate``, which each of ``segments`` changes exponentially.
+
+    ``segments`` is an array of struct(start, end, from, to) without overlaps, in any order;
+    between and behind them the rate holds. One fold over the sorted array.
+    """
+    begin = F.struct(start.alias("at"), rate.alias("rate"), F.lit(0.0).alias("done"))
+
+    def step(state: Column, s: Column) -> Column:
+        held = F.greatest(F.least(s["start"], now) - state["at"], F.lit(0.0)) * state["rate"]
+        begun = s["start"] < now
+        ramp = ramp_integral(s["from"], s["to"], s["end"] - s["start"], F.least(s["end"], now) - s["start"])
+        return F.struct(
+            F.greatest(state["at"], F.least(F.when(begun, s["end"]).otherwise(s["start"]), now)).alias("at"), F.when(begun, s["to"]).otherwise(state["rate"]).alias("rate"),
+            (state["done"] + held + F.when(begun, ramp).otherwise(0.0)).alias("done"),
+        )
+
+    return F.aggregate(F.array_sort(segments), begin, step, lambda x: x["done"] + F.greatest(now - x["at"], F.lit(0.0)) * x["rate"])
+
+
+def pitch_rate(percent: Column) -> Column:
+    """The playback rate of a pitch fader, whose travel is 8 percent either way."""
+    return 1 + between(percent, -8.0, 8.0) / 100
+
+
 def playback_gain(lufs: Column, target: float = TARGET_LUFS) -> Column:
     """Linear gain that only ever cuts, by 12 dB at most."""
     return F.pow(F.lit(10.0), between(target - lufs, -12.0, 0.0) / 20)
@@ -103,12 +128,19 @@ def is_drum_edit(title: Column, path: Column) -> Column:
 
 
 def effective_cues(title: Column, path: Column, bpm: Column, first: Column, seconds: Column, mix_in: Column, mix_out: Column) -> Column:
-    """struct(mix_in, mix_out): eight beats at either end of a drum edit, else the stored cues; null without an analysis."""
+    """struct(mix_in, mix_out, intro_start, intro_end, outro_start, outro_end).
+
+    Eight beats at either end of a drum edit, else the stored cues, which bound the intro and
+    the outro too; null without an analysis.
+    """
     tempo = F.when(F.coalesce(bpm, F.lit(0.0)) == 0, 120.0).otherwise(bpm)
     beat, begin = 60 / tempo, F.coalesce(first, F.lit(0.0))
     out = F.greatest(begin + 12 * beat, seconds - 8 * beat)
-    own = F.struct(begin.alias("mix_in"), out.alias("mix_out"))
-    return F.when(is_drum_edit(title, path), own).otherwise(F.struct(mix_in.alias("mix_in"), mix_out.alias("mix_out")))
+
+    def cues(mix_in: Column, mix_out: Column, intro: Column, intro_end: Column) -> Column:
+        return F.struct(mix_in.alias("mix_in"), mix_out.alias("mix_out"), intro.alias("intro_start"), intro_end.alias("intro_end"), mix_out.alias("outro_start"), seconds.alias("outro_end"))
+
+    return F.when(is_drum_edit(title, path), cues(begin, out, begin, begin + 8 * beat)).otherwise(cues(mix_in, mix_out, F.lit(0.0), mix_in))
 
 
 def mix_trigger(mix_out: Column, fade: Column) -> Column:

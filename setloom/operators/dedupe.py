@@ -51,3 +51,11 @@ def duplicate_clusters(tracks: DataFrame) -> DataFrame:
     exact = exact_duplicates(tracks).select(F.lit("exact").alias("kind"), F.col("file_hash").alias("cluster"), "track_id", "n", "reason")
     probable = probable_duplicates(tracks).select(F.lit("probable").alias("kind"), F.concat("key", F.lit("#"), F.col("anchor").cast("string")).alias("cluster"), "track_id", "n", "reason")
     return exact.unionByName(probable).orderBy("kind", "cluster", "track_id")
+
+
+def cluster_counts(tracks: DataFrame) -> DataFrame:
+    """(kind, clusters, tracks): how many clusters of each kind, and the sum of their sizes."""
+    exact = exact_duplicates(tracks).select(F.lit("exact").alias("kind"), F.struct("file_hash", F.lit(None).cast("double")).alias("cluster"))
+    probable = probable_duplicates(tracks).select(F.lit("probable").alias("kind"), F.struct("key", "anchor").alias("cluster"))
+    sizes = exact.groupBy("kind", "cluster").agg(F.count("*").alias("n")).union(probable.groupBy("kind", "cluster").agg(F.count("*").alias("n")))
+    return sizes.groupBy("kind").agg(F.count("*").alias("clusters"), F.sum("n").alias("tracks"))

@@ -20,10 +20,15 @@ def listing(tracks: DataFrame, analyses: DataFrame) -> DataFrame:
     return analyzed(tracks, analyses).orderBy(F.desc_nulls_last("added_at"), "ord")
 
 
-def filtered(df: DataFrame, needle: str, columns: tuple[str, ...] = ("title", "artist", "genre", "camelot")) -> DataFrame:
+def filtered(df: DataFrame, needle: str, columns: tuple[str, ...] = ("title", "artist", "album", "genre", "camelot")) -> DataFrame:
     return df.where(matches(needle, *[F.col(c) for c in columns]))
 
 
+def addable(df: DataFrame, needle: str) -> DataFrame:
+    """What a set may take: analysed tracks whose title or artist has the needle."""
+    return filtered(df.where(F.col("quality").isNotNull()), needle, ("title", "artist"))
+
+
 def sort_key(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(SORT_DEFAULTS[column]))
 
@@ -62,10 +67,14 @@ def native_hash(path: Column) -> Column:
     return F.concat(F.lit("native:"), F.right(path, F.lit(32)))
 
 
+def edited_text(column: str, value: Column) -> Column:
+    """What an inline edit stores: trimmed; an empty title or artist becomes Unknown."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    return F.when(text == "", F.lit("Unknown" if column in ("title", "artist") else "")).otherwise(text)
+
+
 def edited(df: DataFrame, column: str, value: str) -> DataFrame:
-    """An inline edit: trimmed; an empty title or artist becomes Unknown."""
-    text = value.strip() or ("Unknown" if column in ("title", "artist") else "")
-    return df.withColumn(column, F.lit(text))
+    return df.withColumn(column, edited_text(column, F.lit(value)))
 
 
 def bulk_edit(df: DataFrame, selected: DataFrame, patch: dict[str, str], key: str = "track_id") -> DataFrame:
@@ -93,6 +102,29 @@ def delete_cascade(keys: DataFrame, *tables: DataFrame, key: str = "track_id") -
     return [t.join(keys.select(key).distinct(), key, "left_anti") for t in tables]
 
 
+def cleared(*tables: DataFrame) -> list[DataFrame]:
+    """The stores without their rows, schemas kept; written over the stores they clear them."""
+    return [t.where(F.lit(False)) for t in tables]
+
+
+def known_paths(paths: DataFrame, tracks: DataFrame, path: str = "file_path") -> DataFrame:
+    """``paths`` with known: whether the library has a track of that path."""
+    have = tracks.select(path).distinct().withColumn("known", F.lit(True))
+    return paths.join(have, path, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def toggled(selection: DataFrame, ids: DataFrame) -> DataFrame:
+    """(track_id) of either but not both: what was selected no longer is, what wasn't is."""
+    both = selection.select("track_id", F.lit(1).alias("w")).unionByName(ids.select("track_id", F.lit(2).alias("w")))
+    return both.groupBy("track_id").agg(F.bit_or("w").alias("w")).where("w < 3").select("track_id")
+
+
+def toggled_all(selection: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Every track, or none if as many are selected already; two counts meet as one row each."""
+    counts = selection.agg(F.count("*").alias("n")).crossJoin(F.broadcast(tracks.agg(F.count("*").alias("m"))))
+    return tracks.select("track_id").crossJoin(F.broadcast(counts)).where("n <> m").select("track_id")
+
+
 def range_selection(df: DataFrame, first: str, last: str) -> DataFrame:
     """Rows between two ids in store order (newest first), whichever comes first."""
     ends = df.where(F.col("track_id").isin(first, last)).agg(F.min(F.struct(-F.col("added_at"), "ord")).alias("lo"), F.max(F.struct(-F.col("added_at"), "ord")).alias("hi"))
@@ -110,6 +142,15 @@ def saved_playlist(queue: DataFrame, group: str) -> DataFrame:
     return queue.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track_id"))), lambda x: x["track_id"]).alias("track_ids"))
 
 
+def listed_playlists(playlists: DataFrame) -> DataFrame:
+    """The latest changed first; of equal times the higher key."""
+    return playlists.orderBy(F.desc("updated_at"), F.desc("playlist_id"))
+
+
+def without_playlists(playlists: DataFrame, gone: DataFrame) -> DataFrame:
+    return playlists.join(gone.select("playlist_id").distinct(), "playlist_id", "left_anti")
+
+
 def loaded_playlist(playlists: DataFrame, tracks: DataFrame, group: str) -> DataFrame:
     listed = playlists.select(group, F.posexplode("track_ids").alias("pos", "track_id"))
     kept = resolve_ids(listed, tracks, group)

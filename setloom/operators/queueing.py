@@ -51,6 +51,13 @@ def drained(queue: DataFrame, played: DataFrame, current: DataFrame, group: str
     return removed(queue, gone, group)
 
 
+def popped(queue: DataFrame, group: str = "queue_id") -> tuple[DataFrame, DataFrame]:
+    """The heads (group, track_id), and the queues without them."""
+    heads = queue.where("pos = 0").select(group, "track_id")
+    rest = queue.where("pos > 0").select(group, (F.col("pos") - 1).alias("pos"), "track_id")
+    return heads, rest
+
+
 def next_unplayed(queue: DataFrame, played: DataFrame, group: str = "queue_id") -> DataFrame:
     """The first id of each queue that is not among ``played(track_id)``; none if all are."""
     left = queue.join(played.select("track_id").distinct(), "track_id", "left_anti")

@@ -6,12 +6,19 @@ the candidates are scored in one projection, and the best few come from a partia
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from setloom.functions import scoring as S
 
+#: Tracks of one queue that are put in order together.
+MOST_QUEUED = 2000
 PARTS = ("bpm", "key", "energy", "variety", "quality", "recency")
 
 
@@ -148,25 +155,65 @@ def hub_seed(members: DataFrame, group: str) -> DataFrame:
     return means.groupBy(group).agg(F.max_by("a", F.struct("mean", (-F.col("a_pos")).alias("o"))).alias("track_id"), F.max("mean").alias("mean"))
 
 
-def smart_reorder(members: DataFrame, group: str) -> DataFrame:
-    """Greedy order of each queue from its hub: (group, place, track_id).
+def smart_reorder(members: DataFrame, group: str, anchors: DataFrame | None = None) -> DataFrame:
+    """Greedy order of each queue: (group, place, track_id); each next one is the best after the one before, the earliest of equals.
 
-    A queue's pair scores fold in one expression: a queue is a person's list, thousands at most.
+    It starts with the best after the queue's row of ``anchors`` (group and the columns of a
+    track), or without one with the hub, as ``hub_seed`` has it. A queue of one track stays as it
+    is. Scores are column expressions; a queue's are then one matrix in one row, walked in time
+    n^2, many queues a batch. A queue is a person's list: one beyond MOST_QUEUED tracks is an error.
     """
-    start = hub_seed(members, group).select(group, F.col("track_id").alias("hub"))
-    pairs = pair_scores(members, group).groupBy(group).agg(
-        F.collect_list(F.struct("a", "b", "b_pos", "score")).alias("pairs"), F.size(F.collect_set("a")).alias("n")
-    )
-    both = pairs.join(start, group)
-
-    def step(done: Column, _: Column) -> Column:
-        at = F.element_at(done, -1)
-        open_ = F.filter(F.col("pairs"), lambda p: (p["a"] == at) & ~F.array_contains(done, p["b"]))
-        best = F.array_max(F.transform(open_, lambda p: F.struct(p["score"].alias("s"), (-p["b_pos"]).alias("o"), p["b"].alias("b"))))
-        return F.concat(done, F.array(best["b"]))
-
-    order = F.aggregate(F.sequence(F.lit(2), F.col("n")), F.array("hub"), step)
-    return both.where("n > 1").select(group, F.posexplode(order).alias("place", "track_id"))
+    listed = members.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "track_id"))).alias("m"))
+    too_long = F.raise_error(F.concat(F.lit(f"more than {MOST_QUEUED} tracks in queue "), F.col(group).cast("string"))).cast("long")
+    sizes = members.groupBy(group).agg(F.count("*").alias("n")).select(group, F.when(F.col("n") > MOST_QUEUED, too_long).otherwise(F.col("n")).alias("n"))
+    some = members.join(sizes.where("n > 1").select(group), group)
+    pairs = pair_scores(some, group).groupBy(group).agg(F.collect_list(F.struct("a_pos", "b_pos", "score")).alias("p"))
+    rows = listed.join(pairs, group, "left")
+    if anchors is None:
+        rows = rows.withColumn("anchored", F.lit(None).cast("string"))
+    else:
+        after = prefixed(anchors, "a_", group).join(prefixed(members, "b_", group, F.col("pos").alias("b_pos")), group)
+        best = after.groupBy(group).agg(F.max_by("b_track_id", F.struct(pair_score("a_", "b_").alias("s"), (-F.col("b_pos")).alias("o"))).alias("anchored"))
+        rows = rows.join(best, group, "left")
+
+    def order(places: np.ndarray, a_pos: np.ndarray, b_pos: np.ndarray, score: np.ndarray, first: int | None) -> list[int]:
+        n = len(places)
+        if n == 1:
+            return [0]
+        matrix = np.full((n, n), -np.inf)
+        matrix[np.searchsorted(places, a_pos), np.searchsorted(places, b_pos)] = score
+        if first is None:
+            means = np.where(np.isinf(matrix), 0.0, matrix).sum(axis=1) / (n - 1)
+            first = int(np.floor(means * 1e9 + 0.5).argmax())
+        out = [first]
+        while len(out) < n:
+            matrix[:, out[-1]] = -np.inf
+            out.append(int(matrix[out[-1]].argmax()))
+        return out
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, p = batch.column("m"), pc.fill_null(pc.list_value_length(batch.column("p")), 0).to_numpy()
+            ids, places = m.flatten().field("track_id").to_pylist(), m.flatten().field("pos").to_numpy()
+            flat = batch.column("p").flatten()
+            a_pos, b_pos, score = (flat.field(c).to_numpy() for c in ("a_pos", "b_pos", "score"))
+            ends, after = np.cumsum(pc.list_value_length(m).to_numpy()), np.cumsum(p)
+            which, place, track = [], [], []
+            for k, (end, pair, anchored) in enumerate(zip(ends.tolist(), after.tolist(), batch.column("anchored").to_pylist())):
+                own, low = ids[ends[k - 1] if k else 0 : end], pair - p[k]
+                walked = order(places[end - len(own) : end], a_pos[low:pair], b_pos[low:pair], score[low:pair], None if anchored is None else own.index(anchored))
+                which += [k] * len(own)
+                place += range(len(own))
+                track += [own[i] for i in walked]
+            yield pa.record_batch([batch.column(0).take(pa.array(which, pa.int64())), pa.array(place, pa.int32()), pa.array(track, pa.string())], names=[group, "place", "track_id"])
+
+    kind = members.schema[group].dataType.simpleString()
+    return rows.select(group, "m", "p", "anchored").mapInArrow(walk, f"`{group}` {kind}, place int, track_id string")
+
+
+def unheard(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """Scored candidates that the history does not hold at all: the pool of a recommendation on demand."""
+    return rows.join(history.select("track_id").distinct(), "track_id", "left_anti")
 
 
 def next_track(queued: DataFrame, picked: DataFrame) -> DataFrame:

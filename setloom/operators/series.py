@@ -121,3 +121,65 @@ def beat_times(first: Column, bpm: Column, seconds: Column) -> Column:
 
 def downbeats(beats: Column) -> Column:
     return F.filter(beats, lambda x, i: i % 4 == 0)
+
+
+def tumbling_rms(df: DataFrame, series: str, frames: int, value: str = "value") -> DataFrame:
+    """(series, frame, rms) of consecutive frames of a fixed size; an incomplete one is left out."""
+    each = df.groupBy(series, F.floor(F.col("pos") / frames).alias("frame")).agg(F.count("*").alias("n"), F.avg(F.col(value) * F.col(value)).alias("power"))
+    return each.where(F.col("n") == frames).select(series, "frame", F.sqrt("power").alias("rms"))
+
+
+def beat_bars(df: DataFrame, beats: DataFrame, series: str, time: str = "time", value: str = "value") -> DataFrame:
+    """(series, bar, level): RMS of the values from each fourth beat up to the next such one.
+
+    ``beats(series, idx, beat)``. Both sides are one sorted sequence a series: a value takes the
+    bar that began last, so no range join is needed. Values before the first bar or from the end
+    of the last whole bar on are in none; a bar without values is left out.
+    """
+    last = beats.groupBy(series).agg(F.max("idx").alias("last"))
+    marks = beats.where("idx % 4 = 0").join(last, series).select(series, F.col("beat").alias("at"), F.lit(0).alias("side"), F.when(F.col("idx") + 4 <= F.col("last"), F.floor(F.col("idx") / 4)).otherwise(-1).alias("bar"), F.lit(None).cast("double").alias("x"))
+    values = df.select(series, F.col(time).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("bar"), F.col(value).cast("double").alias("x"))
+    held = F.last("bar", ignorenulls=True).over(W.partitionBy(series).orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0))
+    placed = marks.unionByName(values).withColumn("bar", held).where("side = 1 and bar >= 0")
+    return placed.groupBy(series, "bar").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("level"))
+
+
+def parabolic_peaks(df: DataFrame, series: str, value: str = "value") -> DataFrame:
+    """Local peaks with place: between samples by the parabola through its neighbours, the sample itself where that fit fails."""
+    w = _by(series)
+    rows = df.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)})
+    top = rows.where((F.col(value) > F.col("_a")) & (F.col(value) > F.col("_b")))
+    shift = 0.5 * (F.col("_a") - F.col("_b")) / F.nullif(F.col("_a") - 2 * F.col(value) + F.col("_b"), F.lit(0.0))
+    return top.withColumn("place", F.col("pos") + F.when(F.abs(shift) <= 0.5, shift).otherwise(0.0)).drop("_a", "_b")
+
+
+def mixed_down(left: Column, right: Column) -> Column:
+    """The mean of two channels, as long as the first."""
+    both = F.zip_with(left, F.slice(right, F.lit(1), F.greatest(F.size(left), F.lit(1))), lambda a, b: (a.cast("double") + F.coalesce(b.cast("double"), F.lit(0.0))) / 2)
+    return both
+
+
+def resampled(frame: Column, ratio: float) -> Column:
+    """Linear interpolation every ``ratio`` samples; behind the last sample its value holds."""
+    n = F.floor(F.size(frame) / ratio).cast("int")
+
+    def at(i: Column) -> Column:
+        x = i * F.lit(float(ratio))
+        low = F.floor(x).cast("int")
+        a = F.element_at(frame, low + 1).cast("double")
+        b = F.coalesce(F.try_element_at(frame, low + 2).cast("double"), a)
+        return a + (b - a) * (x - low)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<double>"))
+
+
+def display_bars(peaks: Column, n: int) -> Column:
+    """``n`` of the peaks, evenly spaced, within 0 and 1."""
+    at = lambda i: F.element_at(peaks, (F.floor(i * F.size(peaks) / n) + 1).cast("int")).cast("double")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.least(F.greatest(at(i), F.lit(0.0)), F.lit(1.0)))
+
+
+def pitch_classes(spectrum: Column) -> Column:
+    """Magnitudes folded to twelve classes by place."""
+    terms = lambda c: F.filter(spectrum, lambda _, i: i % 12 == c)
+    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda c: F.aggregate(terms(c), F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))))

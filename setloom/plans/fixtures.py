@@ -14,7 +14,7 @@ TRACKS = """SELECT CAST(p_partkey AS BIGINT) AS ord, concat('t', CAST(p_partkey
                       WHEN 2 THEN concat(' ', CAST(60 + p_partkey % 141 AS STRING), ' BPM') ELSE '' END,
    CASE WHEN p_partkey % 8 = 7 THEN '.flac' ELSE '.mp3' END) AS file_path,
  concat('h', CAST(p_partkey - CASE WHEN p_partkey % 10 = 9 THEN 1 ELSE 0 END AS STRING)) AS file_hash,
- p_name AS title, p_brand AS artist, CASE WHEN p_partkey % 9 = 4 THEN NULL ELSE p_type END AS genre,
+ p_name AS title, p_brand AS artist, CASE WHEN p_partkey % 13 = 6 THEN NULL ELSE concat('Album ', CAST(p_size AS STRING)) END AS album, CASE WHEN p_partkey % 9 = 4 THEN NULL ELSE p_type END AS genre,
  CAST(180 + (p_partkey * 53) % 40 AS DOUBLE) / CAST(2 AS DOUBLE) AS duration_sec,
  CAST(1700000000000 + ((p_partkey * 7919) % 100003) * 1000 AS BIGINT) AS added_at
 FROM {part}"""

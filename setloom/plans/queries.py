@@ -50,7 +50,7 @@ def library_listing(spark, sf):
     return library.listing(load(spark, sf, "tracks"), load(spark, sf, "analyses")).select("track_id", "title", "artist", "genre", "bpm", "camelot", "quality", "added_at")
 
 
-@query(f"{LIB} SELECT track_id, title FROM lib WHERE contains(lower(title), '{NEEDLE}') OR contains(lower(artist), '{NEEDLE}') OR coalesce(contains(lower(genre), '{NEEDLE}'), false) OR coalesce(contains(lower(camelot), '{NEEDLE}'), false)")
+@query(f"{LIB} SELECT track_id, title FROM lib WHERE contains(lower(title), '{NEEDLE}') OR contains(lower(artist), '{NEEDLE}') OR coalesce(contains(lower(album), '{NEEDLE}'), false) OR coalesce(contains(lower(genre), '{NEEDLE}'), false) OR coalesce(contains(lower(camelot), '{NEEDLE}'), false)")
 def library_filter(spark, sf):
     return library.filtered(lib(spark, sf), f" {NEEDLE.upper()} ").select("track_id", "title")
 
@@ -97,7 +97,7 @@ def orphan_tracks(spark, sf):
     return library.orphans(load(spark, sf, "tracks"), files).select("track_id", "file_path")
 
 
-@query("SELECT doc_id, sha1(encode(text)) AS content_id, substr(sha1(encode(text)), 1, 16) AS file_hash FROM documents WHERE octet_length(encode(text)) <= 262144 OR text IS NULL")
+@query("SELECT doc_id, sha1(encode(text)[1:262144]) AS content_id, substr(sha1(encode(text)[1:262144]), 1, 16) AS file_hash FROM documents")
 def content_id(spark, sf):
     sha = library.content_id(F.col("text"))
     return load(spark, sf, "documents").select("doc_id", sha.alias("content_id"), F.left(sha, F.lit(16)).alias("file_hash"))
@@ -161,16 +161,20 @@ def catalog_match(spark, sf):
     return catalog.best_hits(tracks, hits).select("track_id", "hit_id", r6(F.col("score"), "score"))
 
 
-FEATURES = "SELECT track_id, CAST(90 + ord % 60 AS DOUBLE) AS f_bpm, '8A' AS f_camelot, CAST(ord % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS f_energy FROM {tracks} WHERE ord % 3 = 0"
+FEATURES = "SELECT track_id, CAST(90 + ord % 60 AS DOUBLE) AS f_bpm, '8A' AS f_camelot, CAST(ord % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS f_energy, CAST(-ord % 30 AS DOUBLE) AS f_loudness, duration_sec FROM {tracks} WHERE ord % 3 = 0"
+ANALYSED = "SELECT *, energy_mean * CAST(0.5 AS DOUBLE) AS energy_peak, CAST(4 AS DOUBLE) AS mix_in FROM {analyses}"
 
 
-@query(f"""WITH {duck('tracks', 'analyses')}, f AS ({FEATURES.format(tracks='tracks')})
+@query(f"""WITH {duck('tracks', 'analyses')}, f AS ({FEATURES.format(tracks='tracks')}), a AS ({ANALYSED.format(analyses='analyses')})
 SELECT coalesce(a.track_id, f.track_id) AS track_id, coalesce(f_bpm, bpm) AS bpm, coalesce(f_camelot, camelot) AS camelot, round(coalesce(f_energy, energy_mean), 6) AS energy_mean,
-  CASE WHEN quality IS NULL THEN 0.95 ELSE bpm_confidence END AS bpm_confidence, CASE WHEN f_bpm IS NOT NULL THEN 'good' ELSE quality END AS quality, first_beat
-FROM analyses a FULL JOIN f ON a.track_id = f.track_id""")
+  CASE WHEN f_bpm IS NOT NULL THEN 0.95 ELSE bpm_confidence END::DOUBLE AS bpm_confidence, CASE WHEN f_bpm IS NOT NULL THEN 0.9 ELSE key_confidence END::DOUBLE AS key_confidence, CASE WHEN f_bpm IS NOT NULL THEN 'good' ELSE quality END AS quality,
+  CASE WHEN a.track_id IS NULL THEN 0.0 ELSE first_beat END::DOUBLE AS first_beat, f_loudness AS rms_db, round(CASE WHEN a.track_id IS NULL THEN least(1.0, 1.2 * f_energy) ELSE energy_peak END, 6)::DOUBLE AS energy_peak,
+  CASE WHEN a.track_id IS NULL THEN least(8.0, duration_sec) ELSE mix_in END::DOUBLE AS mix_in, CASE WHEN a.track_id IS NULL THEN greatest(0.0, duration_sec - 16) END::DOUBLE AS mix_out, CASE WHEN f_bpm IS NOT NULL THEN 'catalog' ELSE 'audio' END AS origin
+FROM a FULL JOIN f ON a.track_id = f.track_id""")
 def catalog_merge(spark, sf):
-    out = catalog.merged(load(spark, sf, "analyses"), spark.sql(FEATURES, tracks=load(spark, sf, "tracks")))
-    return out.select("track_id", "bpm", "camelot", r6(F.col("energy_mean"), "energy_mean"), "bpm_confidence", "quality", "first_beat")
+    analyses = spark.sql(ANALYSED, analyses=load(spark, sf, "analyses"))
+    out = catalog.merged(analyses, spark.sql(FEATURES, tracks=load(spark, sf, "tracks")))
+    return out.select("track_id", "bpm", "camelot", r6(F.col("energy_mean"), "energy_mean"), "bpm_confidence", "key_confidence", "quality", "first_beat", "rms_db", r6(F.col("energy_peak"), "energy_peak"), "mix_in", "mix_out", "origin")
 
 
 BASE = "trim(regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '^(.+)\\.[^.]*$', '\\1'))"
@@ -364,7 +368,7 @@ def hub_seed(spark, sf):
 @query(f"""{PAIRS_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, ways AS MATERIALIZED (SELECT queue_id, a, list({{'b': b, 's': score}} ORDER BY score DESC, b_pos) AS nexts FROM pairs GROUP BY ALL),
 walk AS (SELECT queue_id, track_id AS here, [track_id] AS done, 0 AS place FROM hub
  UNION ALL SELECT queue_id, nb, list_append(done, nb), place + 1 FROM (SELECT w.queue_id, w.done, w.place, list_filter(y.nexts, lambda x: NOT list_contains(w.done, x.b))[1].b AS nb FROM walk w JOIN ways y ON y.queue_id = w.queue_id AND y.a = w.here) WHERE nb IS NOT NULL)
-SELECT queue_id, place, here AS track_id FROM walk""")
+SELECT queue_id, place, here AS track_id FROM walk UNION ALL SELECT queue_id, 0, track_id FROM m QUALIFY count(*) OVER (PARTITION BY queue_id) = 1""")
 def smart_reorder(spark, sf):
     return ranking.smart_reorder(members(spark, sf), "queue_id")
 
@@ -529,11 +533,12 @@ def next_downbeat(spark, sf):
 
 
 @query(f"""{LIB}, c AS (SELECT *, 60 / bpm AS beat, regexp_matches(concat_ws(' ', title, file_path), '(?i)\\b(dj[\\s._-]*beats?|dj[\\s._-]*edit)\\b') AS edit FROM lib WHERE bpm IS NOT NULL)
-SELECT track_id, round(CASE WHEN edit THEN first_beat ELSE 8.0 END, 6) AS mix_in, round(CASE WHEN edit THEN greatest(first_beat + 12 * beat, duration_sec - 8 * beat) ELSE duration_sec - 16 END, 6) AS mix_out FROM c""")
+SELECT track_id, round(CASE WHEN edit THEN first_beat ELSE 8.0 END, 6) AS mix_in, round(CASE WHEN edit THEN greatest(first_beat + 12 * beat, duration_sec - 8 * beat) ELSE duration_sec - 16 END, 6) AS mix_out,
+ round(CASE WHEN edit THEN first_beat ELSE 0.0 END, 6) AS intro_start, round(CASE WHEN edit THEN first_beat + 8 * beat ELSE 8.0 END, 6) AS intro_end, round(CASE WHEN edit THEN greatest(first_beat + 12 * beat, duration_sec - 8 * beat) ELSE duration_sec - 16 END, 6) AS outro_start, duration_sec AS outro_end FROM c""")
 def effective_cues(spark, sf):
     rows = lib(spark, sf).where("bpm is not null")
     cues = timeline.effective_cues(F.col("title"), F.col("file_path"), F.col("bpm"), F.col("first_beat"), F.col("duration_sec"), F.lit(8.0), F.col("duration_sec") - 16)
-    return rows.select("track_id", r6(cues["mix_in"], "mix_in"), r6(cues["mix_out"], "mix_out"))
+    return rows.select("track_id", *[r6(cues[c], c) for c in ("mix_in", "mix_out", "intro_start", "intro_end", "outro_start", "outro_end")])
 
 
 RATIO = "CASE WHEN r > 1.4 THEN CASE WHEN r / 2 > 1.4 THEN r / 4 ELSE r / 2 END WHEN r < 0.7 THEN CASE WHEN r * 2 < 0.7 THEN r * 4 ELSE r * 2 END ELSE r END"
@@ -587,20 +592,22 @@ def _profiles() -> list[tuple[int, list[float]]]:
 def _correlation_sql() -> str:
     rows = ", ".join(f"({i}, [{', '.join(f'{x}::DOUBLE' for x in p)}])" for i, p in _profiles())
     names = ", ".join(f"'{x}'" for x in camelot.PITCHES)
-    return f"""WITH p(i, w) AS (VALUES {rows}), s AS (SELECT vec_id, i, list_sum(list_transform(range(12), lambda j: embedding[j + 1]::DOUBLE * w[j + 1])) / greatest(1e-9, sqrt(list_sum(list_transform(range(12), lambda j: embedding[j + 1]::DOUBLE ** 2)) * list_sum(list_transform(w, lambda x: x * x)))) AS c FROM embeddings, p),
+    return f"""WITH p(i, w) AS (VALUES {rows}), b AS (SELECT vec_id, list_transform(range(12), lambda j: list_sum(list_transform(range(j, len(embedding), 12), lambda k: abs(embedding[k + 1]::DOUBLE)))) AS e FROM embeddings),
+s AS (SELECT vec_id, i, list_sum(list_transform(range(12), lambda j: e[j + 1] * w[j + 1])) / greatest(1e-9, sqrt(list_sum(list_transform(e, lambda x: x * x)) * list_sum(list_transform(w, lambda x: x * x)))) AS c FROM b, p),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, i) AS k, lead(c) OVER (PARTITION BY vec_id ORDER BY c DESC, i) AS second FROM s)
 SELECT vec_id, [{names}][i // 2 + 1] AS root, CASE WHEN i % 2 = 0 THEN 'major' ELSE 'minor' END AS scale, round(least(1.0, greatest(0.0, 2 * (c - second))), 6) AS confidence FROM r WHERE k = 1"""
 
 
 @query(_correlation_sql())
 def key_correlation(spark, sf):
-    chroma = F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double"))
+    chroma = F.col("chroma")
     norm = F.aggregate(chroma, F.lit(0.0), lambda s, x: s + x * x)
     scores = []
     for i, p in _profiles():
         dot = F.aggregate(F.zip_with(chroma, F.array(*map(F.lit, p)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         scores.append(F.struct((dot / F.greatest(F.lit(1e-9), F.sqrt(norm * F.lit(sum(x * x for x in p))))).alias("c"), F.lit(-i).alias("i")))
-    ranked = load(spark, sf, "embeddings").select("vec_id", F.reverse(F.array_sort(F.array(*scores))).alias("s"))
+    folded = load(spark, sf, "embeddings").select("vec_id", series.pitch_classes(F.col("embedding")).alias("chroma"))
+    ranked = folded.select("vec_id", F.reverse(F.array_sort(F.array(*scores))).alias("s"))
     at, lead = -F.col("s")[0]["i"], F.col("s")[0]["c"] - F.col("s")[1]["c"]
     return ranked.select("vec_id", F.element_at(F.array(*map(F.lit, camelot.PITCHES)), (F.floor(at / 2) + 1).cast("int")).alias("root"), F.when(at % 2 == 0, "major").otherwise("minor").alias("scale"), r6(S.clamp01(2 * lead), "confidence"))
 

@@ -9,7 +9,8 @@ from setloom.functions.camelot import PITCHES, to_camelot
 from setloom.functions.text import match_score, match_text
 from setloom.functions.timeline import between
 
-ACCEPT = 0.55
+# Fixed values.
+ACCEPT, CATALOG_BPM_CONFIDENCE, CATALOG_KEY_CONFIDENCE = 0.55, 0.95, 0.9
 
 
 def best_hits(tracks: DataFrame, hits: DataFrame) -> DataFrame:
@@ -35,22 +36,38 @@ def features_analysis(key: Column, mode: Column, tempo: Column, energy: Column,
 
 
 def merged(analyses: DataFrame, features: DataFrame) -> DataFrame:
-    """Analyses with the catalog's tempo, key and energy; the beat grid is kept as it was.
+    """Analyses with the catalog's tempo, key, energy and loudness; grid, peak and cues are kept as they were.
 
-    ``features(track_id, f_bpm, f_camelot, f_energy)``. A track without an analysis gets a
-    minimal one: quality good, tempo confidence .95, key confidence .9.
+    ``features(track_id, f_bpm, f_camelot, f_energy, f_loudness, duration_sec)``: what has
+    features gets their confidences (tempo .95, key .9) and counts as good. A track without an
+    analysis gets a minimal one: a stable grid from 0 without beats, a peak of 1.2 times the
+    energy, cues 8 s from the start and 16 s from the end. Columns that ``analyses`` lacks are null there.
     """
-    both = analyses.join(features, "track_id", "full")
-    new = F.col("quality").isNull()
-    has = F.col("f_bpm").isNotNull()
-    pick = lambda f, own: F.when(has, F.col(f)).otherwise(F.col(own)).alias(own)
+    kept = ("energy_peak", "rms_db", "mix_in", "mix_out", "intro_end", "outro_start", "is_stable")
+    types = {"is_stable": "boolean"}
+    whole = analyses.select("*", *[F.lit(None).cast(types.get(c, "double")).alias(c) for c in kept if c not in analyses.columns])
+    both = whole.join(features, "track_id", "full")
+    new, has = F.col("quality").isNull(), F.col("f_bpm").isNotNull()
+    head, tail = F.least(F.lit(8.0), F.col("duration_sec")), F.greatest(F.lit(0.0), F.col("duration_sec") - 16)
+    pick = lambda f, own: F.when(has, f).otherwise(F.col(own)).alias(own)
+    fresh = lambda value, own: F.when(new, value).otherwise(F.col(own)).alias(own)
     return both.select(
-        "track_id", pick("f_bpm", "bpm"), pick("f_camelot", "camelot"), pick("f_energy", "energy_mean"),
-        F.when(new, 0.95).otherwise(F.col("bpm_confidence")).alias("bpm_confidence"), F.when(new, 0.9).otherwise(F.col("key_confidence")).alias("key_confidence"),
-        F.when(has, "good").otherwise(F.col("quality")).alias("quality"), "first_beat", F.when(new, F.least(F.lit(1.0), 1.2 * F.col("f_energy"))).alias("energy_peak"),
+        "track_id", pick(F.col("f_bpm"), "bpm"), pick(F.col("f_camelot"), "camelot"), pick(F.col("f_energy"), "energy_mean"), pick(F.col("f_loudness"), "rms_db"),
+        pick(F.lit(CATALOG_BPM_CONFIDENCE), "bpm_confidence"), pick(F.lit(CATALOG_KEY_CONFIDENCE), "key_confidence"), pick(F.lit("good"), "quality"),
+        fresh(F.lit(0.0), "first_beat"), fresh(F.lit(True), "is_stable"), fresh(F.least(F.lit(1.0), 1.2 * F.col("f_energy")), "energy_peak"),
+        fresh(head, "mix_in"), fresh(head, "intro_end"), fresh(tail, "mix_out"), fresh(tail, "outro_start"), F.when(has, "catalog").otherwise("audio").alias("origin"),
     )
 
 
+def feature_rows(ids: DataFrame, features: DataFrame) -> DataFrame:
+    """(track_id, hit_id) of ``ids`` with the features of its hit, all null where the catalog has none.
+
+    ``features(hit_id, key, mode, tempo, energy, loudness)``.
+    """
+    known = features.select("hit_id", F.lit(True).alias("_known"), *[c.alias(n) for n, c in features_analysis(*map(F.col, ("key", "mode", "tempo", "energy", "loudness"))).items()])
+    return ids.join(known, "hit_id", "left").withColumn("found", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
 def enrichment_status(tracks: DataFrame, hits: DataFrame, cached: DataFrame) -> DataFrame:
     """(track_id, hit_id, status): a cached id counts as matched without a search; then the best hit; else unmatched."""
     known = tracks.join(cached.select("track_id", F.col("hit_id").alias("cached_id")), "track_id", "left")

@@ -49,6 +49,39 @@ def test_key_of_a_chord():
     assert dsp.key_of(dsp.chroma(x, dsp.RATE))["camelot"] == "8A"
 
 
+def test_filter_blocks_equal_the_recurrence():
+    rng = np.random.default_rng(1)
+    for rate in (8000, 44100, 48000):
+        for n in (0, 1, 2, 127, 128, 129, 5000):
+            x = rng.standard_normal(n).astype(np.float32)
+            for b, a in dsp.k_weighting(rate):
+                feed, y = np.convolve(x.astype(float), b)[:n] if n else np.zeros(0), [0.0, 0.0]
+                for f in feed:
+                    y.append(f - a[0] * y[-1] - a[1] * y[-2])
+                assert np.allclose(dsp._biquad(x, b, a), y[2:], rtol=1e-5, atol=1e-6)
+
+
+def test_regions_equal_trying_every_end():
+    rng = np.random.default_rng(3)
+    for noise in (0.0, 0.004, 0.02, 0.1):
+        beats = np.cumsum(0.5 + noise * rng.standard_normal(90))
+        out, left = [], 0
+        while left < len(beats) - 1:
+            right = next((r for r in range(len(beats) - 1, left, -1) if dsp._constant(beats[left : r + 1])), None)
+            if right is None:
+                left += 1
+                continue
+            out.append((float(beats[left]), float(beats[right] - beats[left]) / (right - left), right - left))
+            left = right
+        assert dsp.constant_regions(beats) == out
+
+
+def test_display_bars():
+    bars = dsp.display_bars([])
+    assert len(bars) == 220 and min(bars) >= 0 and max(bars) <= 1 and bars[0] == 0.35
+    assert dsp.display_bars([0.5, 2.0, -1.0], 6) == [0.5, 0.5, 1.0, 1.0, 0.0, 0.0]
+
+
 def test_constant_regions():
     beats = np.r_[np.arange(40) * 0.5, 19.5 + np.arange(1, 20) * 0.48]
     regions = dsp.constant_regions(beats)

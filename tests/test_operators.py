@@ -1,5 +1,6 @@
 """Queue, library and ranking operators on small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from setloom.operators import library, queueing, ranking
@@ -63,8 +64,16 @@ def test_reorder_keeps_members(spark, sf):
 
     m = members(spark, sf)
     out = ranking.smart_reorder(m, "queue_id")
-    sizes = m.groupBy("queue_id").count().where("count > 1").agg(F.sum("count")).first()[0]
-    assert out.count() == sizes == out.dropDuplicates(["queue_id", "track_id"]).count()
+    assert out.count() == m.count() == out.dropDuplicates(["queue_id", "track_id"]).count()
+    assert out.groupBy("queue_id").agg(F.max("place").alias("last"), F.count("*").alias("n")).where("last <> n - 1").count() == 0
+
+
+def test_reorder_bounds_a_queue(spark, sf, monkeypatch):
+    from setloom.plans.queries import members
+
+    monkeypatch.setattr(ranking, "MOST_QUEUED", 2)
+    with pytest.raises(Exception, match="more than 2 tracks in queue"):
+        ranking.smart_reorder(members(spark, sf), "queue_id").count()
 
 
 def test_empty_pool_picks_nothing(spark, sf):
@@ -81,15 +90,15 @@ def test_rank_plan_broadcasts_one_row_and_takes_ordered(spark, sf):
 
 
 def test_scan_and_rows(spark, tmp_path):
-    for name in ("a.mp3", "B.FLAC", ".x.mp3", "note.txt", "sub/_c.ogg", ".hid/d.mp3"):
+    for name in ("a.mp3", "B.FLAC", "c.Mp3", "d.oPuS", "e.mp3x", ".x.mp3", "note.txt", "sub/_c.ogg", ".hid/d.mp3"):
         p = tmp_path / name
         p.parent.mkdir(exist_ok=True)
         p.write_bytes(name.encode())
     found = files.scan(spark, f"file:{tmp_path}")
     names = sorted(r["path"].rsplit("/", 1)[1] for r in found.collect())
-    assert names == ["B.FLAC", "a.mp3"]
+    assert names == ["B.FLAC", "a.mp3", "c.Mp3", "d.oPuS"]
     rows = files.track_rows(found, 5).orderBy("title").collect()
-    assert [(r["title"], r["artist"], r["mime"]) for r in rows] == [("B", "Unknown Artist", "audio/flac"), ("a", "Unknown Artist", "audio/mpeg")]
+    assert [(r["title"], r["artist"], r["mime"]) for r in rows] == [("B", "Unknown Artist", "audio/flac"), ("a", "Unknown Artist", "audio/mpeg"), ("c", "Unknown Artist", "audio/mpeg"), ("d", "Unknown Artist", "audio/opus")]
     assert all(r["file_hash"] == r["track_id"][:16] for r in rows)
 
 
@@ -127,6 +136,33 @@ def test_repeats_dropped_from_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
 
 
+def test_tags_of_scanned_files(spark, tmp_path):
+    from setloom.functions import codecs
+
+    utf16 = codecs.standard_tag(b"audio", {"title": "Tïtle", "artist": "Ärtist", "genre": "House", "album": "中", "year": "1999", "comment": "c"})
+    frame = lambda name, body, v: name + (codecs.to_synchsafe(len(body)) if v == 4 else len(body).to_bytes(4, "big")) + b"\0\0" + body
+    old = frame(b"TIT2", b"\0T\xefle\0second", 3) + frame(b"TPE2", b"\x02" + "Bänd".encode("utf-16-be"), 3) + frame(b"TLEN", b"\x002500", 3)
+    new = frame(b"TPE1", b"\x03One\0Two", 4) + frame(b"TCON", b"\x09bad", 4)
+    for name, data in (("a", utf16), ("b", b"ID3\x03\0\0" + codecs.to_synchsafe(len(old)) + old + b"x"), ("c", b"ID3\x04\0\0" + codecs.to_synchsafe(len(new)) + new), ("d", b"ID3\x03")):
+        (tmp_path / f"{name}.mp3").write_bytes(data)
+    rows = {r["file_path"][-5]: r for r in files.track_rows(files.scan(spark, f"file:{tmp_path}"), 5).collect()}
+    got = {k: (r["title"], r["artist"], r["album"], r["genre"], r["duration_sec"]) for k, r in rows.items()}
+    assert got == {"a": ("Tïtle", "Ärtist", "中", "House", 0.0), "b": ("Tïle", "Bänd", None, None, 2.5), "c": ("c", "One", None, None, 0.0), "d": ("d", "Unknown Artist", None, None, 0.0)}
+    again = codecs.standard_tag(utf16, {"title": "New"})
+    assert codecs.read_text(again) == {"TIT2": ["New"]} and again.endswith(b"audio") and codecs.read_text(utf16)["TYER"] == ["1999"]
+
+
+def test_merging_keeps_what_features_do_not_say(spark):
+    from setloom.sources import catalog
+
+    a = spark.createDataFrame([("x", 100.0, "1A", 0.2, 0.3, 0.4, "partial", 0.7, 0.9), ("y", 101.0, "2A", 0.2, 0.3, 0.4, "partial", 0.7, 0.8)], "track_id string, bpm double, camelot string, energy_mean double, bpm_confidence double, key_confidence double, quality string, first_beat double, energy_peak double")
+    f = spark.createDataFrame([("x", 120.0, "8A", 0.5, -6.0, 90.0), ("z", 125.0, "9A", 0.9, -5.0, 6.0)], "track_id string, f_bpm double, f_camelot string, f_energy double, f_loudness double, duration_sec double")
+    out = {r["track_id"]: r for r in catalog.merged(a, f).collect()}
+    assert (out["x"]["energy_peak"], out["y"]["energy_peak"], out["z"]["energy_peak"]) == (0.9, 0.8, 1.0)
+    assert (out["x"]["bpm_confidence"], out["x"]["key_confidence"], out["y"]["bpm_confidence"], out["x"]["first_beat"]) == (0.95, 0.9, 0.3, 0.7)
+    assert (out["z"]["mix_in"], out["z"]["mix_out"], out["z"]["first_beat"], out["z"]["rms_db"], out["z"]["is_stable"]) == (6.0, 0.0, 0.0, -5.0, True)
+
+
 def test_tag_writes_report_errors(spark):
     rows = [("/a.mp3", b"\xff\xfb", 120.0, [0.5, 1.0], [0.5]), ("/b.flac", b"x", 120.0, [], []), ("/c.mp3", b"\xff", None, [], [])]
     df = spark.createDataFrame(rows, "path string, content binary, bpm double, beats array<double>, cues array<double>")
