@@ -7,6 +7,7 @@ start corrects the declared one; hits further in are embedded media and are carv
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from setloom.llm.common import arrow_rows
 
 UNIT, RATE = 64, 8000
+#: Marks within the formats.
+JPEG_MARK = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]", re.S)
+PDF_VERSION, PDF_END, PDF_MORE = re.compile(rb"%PDF-[0-9]\."), re.compile(rb"%%EOF"), re.compile(rb"\s*(?:[0-9]+\s+[0-9]+\s+obj|xref\s)")
+ZIP_END, FLAC_SYNC = re.compile(rb"PK\x05\x06"), re.compile(rb"\xff[\xf8\xf9]")
 UNKNOWN = "application/octet-stream"
 
 
@@ -61,18 +66,12 @@ def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
         if n < 2 or p + 2 + n > len(b):
             return None
         p += 2 + n
-        if marker == 0xDA:  # entropy-coded data up to the end marker
-            raw = bytes(b[p:])
-            i = 0
-            while (i := raw.find(b"\xff", i)) >= 0 and i + 1 < len(raw):
-                if raw[i + 1] == 0xD9:
-                    return "image/jpeg", p + i + 2 - at
-                if raw[i + 1] not in (0, 0xFF) and not 0xD0 <= raw[i + 1] <= 0xD7:
-                    break
-                i += 1 if raw[i + 1] == 0xFF else 2
-            if i < 0 or i + 1 >= len(raw):
+        if marker == 0xDA:  # entropy-coded data up to a marker: the end, or that of another scan
+            if (mark := JPEG_MARK.search(b, p)) is None:
                 return None
-            p += i
+            p = mark.end() - 2
+            if b[p + 1] == 0xD9:
+                return "image/jpeg", p + 2 - at
     return None
 
 
@@ -106,18 +105,21 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
 
 
 def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    raw = bytes(b[at:])
-    end = raw.rfind(b"%%EOF")
-    return ("application/pdf", end + 5) if raw[5:6].isdigit() and raw[6:7] == b"." and end > 0 else None
+    """Up to the first end mark that no further part follows: a changed file has bodies and cross references behind one."""
+    if PDF_VERSION.match(b, at) is None:
+        return None
+    for mark in PDF_END.finditer(b, at):
+        if PDF_MORE.match(b, mark.end()) is None:
+            return "application/pdf", mark.end() - at
+    return None
 
 
 def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    raw = bytes(b[at:])
-    end = -1
-    while (end := raw.find(b"PK\x05\x06", end + 1)) >= 0:
-        if end + 22 <= len(raw):
-            size, start, note = struct.unpack_from("<IIH", raw, end + 12)
-            if start + size == end and raw[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(raw):
+    for mark in ZIP_END.finditer(b, at):
+        end = mark.start() - at
+        if at + end + 22 <= len(b):
+            size, start, note = struct.unpack_from("<IIH", b, at + end + 12)
+            if start + size == end and bytes(b[at + start : at + start + 4]) == b"PK\x01\x02" and at + end + 22 + note <= len(b):
                 return "application/zip", end + 22 + note
     return None
 
@@ -134,14 +136,84 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("application/gzip", len(b) - at - len(d.unused_data)) if d.eof else None
 
 
+def _crc(b: memoryview, table: list[int], width: int) -> int:
+    out, top, mask = 0, width - 8, (1 << width) - 1
+    for x in b:
+        out = (out << 8 & mask) ^ table[out >> top ^ x]
+    return out
+
+
+def _crc_table(poly: int, width: int) -> list[int]:
+    out = []
+    for i in range(256):
+        c = i << width - 8
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> width - 1 else 0)) & (1 << width) - 1
+        out.append(c)
+    return out
+
+
+#: The checks of a FLAC frame's header and of the frame.
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(b: memoryview, p: int) -> tuple[int, int, int] | None:
+    """(bytes of the header, samples, number) of the FLAC frame at p, if one begins there."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 2] >> 4 == 0 or b[p + 2] & 15 == 15 or b[p + 3] >> 4 > 10 or b[p + 3] & 1:
+        return None
+    code, rate, lead = b[p + 2] >> 4, b[p + 2] & 15, b[p + 4]
+    more = 0 if lead < 0x80 else 8 - (~lead & 0xFF).bit_length()
+    if more == 1 or more == 8:
+        return None
+    more = max(0, more - 1)
+    size = {6: 1, 7: 2}.get(code, 0)
+    n = 5 + more + size + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if p + n + 1 > len(b) or _crc(b[p : p + n], CRC8, 8) != b[p + n]:
+        return None
+    number = lead if not more else lead & (0x3F >> more)
+    for x in b[p + 5 : p + 5 + more]:
+        number = number << 6 | x & 0x3F
+    explicit = int.from_bytes(b[p + 5 + more : p + 5 + more + size], "big") + 1
+    samples = 192 if code == 1 else 576 << code - 2 if code < 6 else explicit if code < 8 else 256 << code - 8
+    return n + 1, samples, number
+
+
 def _flac(b: memoryview, at: int) -> tuple[str, int] | None:
-    p, last, first = at + 4, False, True
+    """Header blocks, then frames one behind the other; the last ends where its check fits, at its least size or later."""
+    p, last, info = at + 4, False, None
     while not last and p + 4 <= len(b):
         last, kind, n = b[p] >> 7, b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
-        if first and (kind, n) != (0, 34):
+        if info is None and (kind, n) != (0, 34):
             return None
-        p, first = p + 4 + n, False
-    return ("audio/flac", len(b) - at) if last and p <= len(b) else None
+        info = info or bytes(b[p + 4 : p + 38])
+        p += 4 + n
+    if not last or p > len(b) or len(info or b"") < 34:
+        return None
+    least, most = int.from_bytes(info[4:7], "big"), int.from_bytes(info[7:10], "big")
+    total, done = int.from_bytes(info[13:18], "big") & (1 << 36) - 1, 0
+    if (frame := _flac_frame(b, p)) is None:
+        return None if total else ("audio/flac", p - at)
+    while True:
+        head, samples, number = frame
+        done += samples
+        if total and done >= total:
+            break
+        for mark in FLAC_SYNC.finditer(b, p + head):
+            # frames of a fixed size count one by one, others by their first sample
+            if (following := _flac_frame(b, mark.start())) and following[2] in (number + 1, number + samples):
+                p, frame = mark.start(), following
+                break
+        else:
+            if total:
+                return None
+            break
+    check, ends = 0, []
+    stop = min(len(b), p + (most or 1 << 20))
+    for i in range(p, stop):
+        check = (check << 8 & 0xFFFF) ^ CRC16[check >> 8 ^ b[i]]
+        if not check and i + 1 - p >= max(least, head + 2):
+            ends.append(i + 1)
+    return ("audio/flac", (stop if stop in ends else ends[0]) - at) if ends else None
 
 
 def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
@@ -179,6 +251,7 @@ SIGNATURES: list[tuple[bytes, int, Callable[[memoryview, int], tuple[str, int] |
     (b"OggS", 0, _ogg),
     (b"ftyp", 4, _mp4),
 ]
+VALIDATED = frozenset("audio/wav image/webp video/avi image/png image/jpeg image/gif image/bmp application/pdf application/zip application/gzip audio/flac application/ogg video/mp4".split())
 _AUTOMATON = None
 
 
@@ -239,9 +312,10 @@ def feature(kind: str, payload: bytes, embedded: int) -> str:
 def sniff_column(df: DataFrame, data: str, declared: str, keep: list[str]) -> DataFrame:
     """Columns ``keep``, then media_type (corrected), was_wrong, valid_bytes, embedded (type, offset, bytes).
 
-    The type is that of the media that validates at offset 0, else the unknown one; a null
-    or empty value has the unknown type and no embedded media. was_wrong: the declared type
-    (null: unknown) differs. Rows, nulls and repeats are kept; other columns are not read.
+    The type is that of the media that validates at offset 0. Where none does, a declared type
+    that no validator knows is kept, and any other is the unknown one; a null or empty value
+    has the unknown type and no embedded media. was_wrong: the declared type (null: unknown)
+    differs. Rows, nulls and repeats are kept; other columns are not read.
     """
     names = [f"_c{i}" for i in range(len(keep))]
     schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))
@@ -253,9 +327,10 @@ def sniff_column(df: DataFrame, data: str, declared: str, keep: list[str]) -> Da
             for d, t in zip(batch.column(k), batch.column(k + 1)):
                 value = d.as_py() or b""
                 found = sniff(value)
-                kind, n = next(((m, n) for m, o, n in found if o == 0), (UNKNOWN, 0))
+                said = t.as_py() or UNKNOWN
+                kind, n = next(((m, n) for m, o, n in found if o == 0), (UNKNOWN if said in VALIDATED or not value else said, 0))
                 kinds.append(kind)
-                wrong.append(kind != (t.as_py() or UNKNOWN))
+                wrong.append(kind != said)
                 sizes.append(n)
                 inner.append([{"media_type": m, "offset": o, "data": value[o : o + n]} for m, o, n in found if o])
             kind_of = pa.list_(pa.struct([("media_type", pa.string()), ("offset", pa.int64()), ("data", pa.binary())]))

@@ -416,3 +416,32 @@ def test_sniff_types_and_carve(spark):
     assert [(e["media_type"], bytes(e["data"])) for e in out[1]["embedded"]] == [("image/png", png()), ("image/gif", gif)]
     assert (out[2]["media_type"], out[2]["was_wrong"], out[2]["embedded"]) == ("image/png", False, [])
     assert not out[3]["was_wrong"] and out[4]["was_wrong"] and out[5]["media_type"] == media.UNKNOWN
+
+
+def flac_file(values, extra=b""):
+    """A FLAC file of frames of 192 equal samples each, in 16 bits."""
+    frames = b""
+    for i, v in enumerate(values):
+        head = b"\xff\xf8\x10\x08" + bytes((i,))
+        body = head + bytes((media._crc(head, media.CRC8, 8),)) + b"\0" + struct.pack(">h", v)
+        frames += body + media._crc(body, media.CRC16, 16).to_bytes(2, "big")
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (44100 << 44 | 15 << 36 | 192 * len(values)).to_bytes(8, "big") + bytes(16)
+    return b"fLaC\0\0\0\x22" + info + b"\x81" + len(extra).to_bytes(3, "big") + extra + frames
+
+
+def test_true_ends_of_media(spark):
+    from binascii import crc32
+
+    assert media._crc(b"123456789", media.CRC8, 8) == 0xF4 and media._crc(b"123456789", media.CRC16, 16) == 0xFEE8 and crc32(b"") == 0
+    flac = flac_file([5, -7, 300], b"pad")
+    first = b"%PDF-1.4\n1 0 obj\nendobj\nxref\nstartxref\n9\n%%EOF"
+    pdf = first + b"\n2 0 obj\nendobj\nxref\nstartxref\n60\n%%EOF"
+    for data, kind in ((flac, "audio/flac"), (pdf, "application/pdf")):
+        assert media.sniff(data + b"\n" + png() + first) == [(kind, 0, len(data)), ("image/png", len(data) + 1, len(png())), ("application/pdf", len(data) + 1 + len(png()), len(first))]
+        assert media.sniff(b"x" + data + data)[:2] == [(kind, 1, len(data)), (kind, 1 + len(data), len(data))]
+    assert media.sniff(flac[:-1]) == [] and media.sniff(flac[:60]) == []
+    two_scans = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd12\xff\x003\xff\xd0\xff\xda\0\x04ef4\xff\xff\xd9"
+    assert media.sniff(two_scans + b"rest") == [("image/jpeg", 0, len(two_scans))]
+    rows = [(1, b"ID3 and so on", "audio/mpeg"), (2, b"text", "image/png"), (3, b"text", None), (4, png(), "audio/mpeg")]
+    out = {r["id"]: (r["media_type"], r["was_wrong"]) for r in media.sniff_column(spark.createDataFrame(rows, "id int, data binary, declared string"), "data", "declared", ["id"]).collect()}
+    assert out == {1: ("audio/mpeg", False), 2: (media.UNKNOWN, True), 3: (media.UNKNOWN, False), 4: ("image/png", True)}
