@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is written: texts are long, and both sides of the pipe hold a batch.
+BATCH_ROWS = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Written:
     """A table written to the shared folder: it cuts lineage and outlives any executor."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/setloom/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with small_batches(self.spark):
+            df.write.parquet(self.path)
         jvm = self.spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -52,6 +70,21 @@ class Written:
         self._fs.delete(self._path, True)
 
 
+class Scratch:
+    """Written tables that are deleted together, once what needs them has been written itself."""
+
+    def __init__(self) -> None:
+        self.held: list[Written] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(Written(df, name))
+        return self.held[-1].df
+
+    def drop(self) -> None:
+        while self.held:
+            self.held.pop().drop()
+
+
 def write_out(df: DataFrame, name: str) -> DataFrame:
     return Written(df, name).df
 
@@ -151,9 +184,12 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of ``edges(u, v)``; component is the least node reachable.
 
+    The result reads a written table, which ``scratch`` holds if it is given. Edges that come
+    from a Python function should be written first: two Python stages in one task take two workers' memory.
+
     Alternating large-star and small-star steps (Kiveris et al. 2014). Each round is a
     partial aggregate and a join of narrow rows, written to the shared folder; links stay
     on the executors and the driver sees two numbers a round.
@@ -178,6 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
         if then == seen:
             break
         seen = then
+    if scratch is not None:
+        scratch.held.append(now)
     # a fixed point is a set of stars: every node points at the least of its component
     leaves = now.df.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

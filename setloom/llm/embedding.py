@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import Written, components, sorted_groups
+from setloom.llm.common import Scratch, Written, components, sorted_groups
 
 COSINE, RECALL, WIDTH = 0.93, 0.99, 1.0
-#: Expected unrelated members of a bucket, and members compared in one task.
-BUCKET, BLOCK = 96, 1024
+#: Expected unrelated members of a bucket, which one matrix product compares, and members compared in one task.
+BUCKET, BLOCK = 512, 1024
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -82,7 +82,8 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", label: str = "labe
     same = F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))
     rows = Written(rows.select("id", "label", F.when(fit, same).alias("v")), "vectors").df
     valid = rows.where("v is not null").withColumn("node", F.xxhash64("label", "v"))
-    nodes = Written(valid.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("weight"), F.min("id").alias("rep")), "distinct-vectors").df
+    scratch = Scratch()
+    nodes = scratch.write(valid.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("weight"), F.min("id").alias("rep")), "distinct-vectors")
     most = nodes.groupBy("label", F.size("v").alias("d")).agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
     sizes = {r["d"]: sizing(r["n"], cosine) for r in most}  # a row for each length of vector
     spins: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -112,16 +113,17 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", label: str = "labe
                 narrow = x.astype(np.float32)
                 exact = (narrow == x).all(axis=1)  # most embeddings are floats: half the bytes, nothing lost
                 raw = pa.array([(a if e else b).tobytes() for a, b, e in zip(narrow, x, exact)], pa.binary())
-                whole = pa.array([r.tobytes() for r in keys.astype(np.uint32)], pa.binary())
+                short = keys.astype(np.uint32)
                 for t in range(keys.shape[1]):
-                    yield pa.record_batch([lab, pa.array([t * 65536 + d] * len(at), pa.int64()), pa.array(keys[:, t]), node, weight, raw, whole], names=["label", "table", "key", "node", "weight", "x", "keys"])
+                    earlier = pa.array([r.tobytes() for r in short[:, :t]], pa.binary())  # what tells whether a pair has met before
+                    yield pa.record_batch([lab, pa.array([t * 65536 + d] * len(at), pa.int64()), pa.array(keys[:, t]), node, weight, raw, earlier], names=["label", "table", "key", "node", "weight", "x", "keys"])
 
     dealt = nodes.select("label", "node", "weight", "v").mapInArrow(deal, "label string, table long, key long, node long, weight long, x binary, keys binary")
-    dealt = Written(dealt, "buckets").df
+    dealt = scratch.write(dealt, "buckets")
     bucket = ["label", "table", "key"]
     # written, so that its size is known: most often it is tiny and Spark may broadcast it, sparing the wide rows a shuffle
     large = dealt.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    blocks = Written(large.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-buckets").df
+    blocks = scratch.write(large.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-buckets")
     some = dealt.join(blocks, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     some = some.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = some.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -135,7 +137,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", label: str = "labe
             d = group.column("table")[0].as_py() % 65536
             x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * d else np.float64) for b in group.column("x").to_pylist()]).astype(np.float64)
             x = x / _norm(x)
-            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32).reshape(group.num_rows, -1)
+            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32).reshape(group.num_rows, group.column("table")[0].as_py() // 65536)
             node, weight, b = (group.column(c).to_numpy() for c in ("node", "weight", "b"))
             i, j, table = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("table")[0].as_py() // 65536
             counts = np.zeros(len(x), np.int64)
@@ -150,13 +152,14 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", label: str = "labe
             yield pa.record_batch([pa.array(node[at]), pa.array([None] * len(at), pa.int64()), pa.array(counts[at])], names=["u", "v", "links"])
             yield pa.record_batch([u, w, zero], names=["u", "v", "links"])
 
-    found = Written(paired.select("g", "i", "j", "b", "table", "node", "weight", "x", "keys").mapInArrow(check, "u long, v long, links long"), "links").df
+    found = scratch.write(paired.select("g", "i", "j", "b", "table", "node", "weight", "x", "keys").mapInArrow(check, "u long, v long, links long"), "links")
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("v is not null").select("u", "v"))
+    joined = components(found.where("v is not null").select("u", "v"), scratch)
     info = nodes.select("node", "weight", "rep").join(links, "node", "left").join(joined, "node", "left")
     info = info.withColumn("root", F.coalesce("component", "node"))
     least = info.groupBy("root").agg(F.min("rep").alias("component_id"))
-    info = info.join(least, "root").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    info = Written(info.join(least, "root").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "vector-components").df
+    scratch.drop()
     out = valid.select("id", "node").join(info, "node").select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -178,12 +178,16 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text", keep:
             _LOADED[0] = (sent.value, Classifier(sent.value))
         model = _LOADED[0][1]
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(len(keep))]
+            texts = batch.column(at)
+            found = [model.predict(t.as_py()) for t in texts]
             lang, score, gap = ([x[i] for x in found] for i in range(3))
-            rejected = [not has_letter(t.as_py()) or bool(model.langs) and g < margin for t, g in zip(batch.column(len(keep)), gap)]
+            rejected = [not has_letter(t.as_py()) or bool(model.langs) and g < margin for t, g in zip(texts, gap)]
             out = [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.record_batch(out, names=[*names, *results])
 
     chosen = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
-    out = arrow_rows(df, [*chosen, F.col(f"`{text}`").cast("string").alias("_text")], run, f"{schema}, " + ", ".join(f"`{c}` {t}" for c, t in zip(results, ("string", "double", "double", "boolean"))))
+    # a kept text goes to Python once
+    has_text = text in keep and df.schema[text].dataType.simpleString() == "string"
+    at = keep.index(text) if has_text else len(keep)
+    out = arrow_rows(df, chosen if has_text else [*chosen, F.col(f"`{text}`").cast("string").alias("_text")], run, f"{schema}, " + ", ".join(f"`{c}` {t}" for c, t in zip(results, ("string", "double", "double", "boolean"))))
     return out.withColumnsRenamed(dict(zip(names, keep)))

@@ -7,7 +7,8 @@ of each shard finds its links; k grows with the number of fingerprints so that a
 stays small. The method names broadcast shard trees: a broadcast passes through the driver
 and all trees together hold all fingerprints, which grow with the corpus. So the fingerprints
 of a shard meet by a shuffle, and each shard's tree is built and searched in the task that
-holds the shard. Links leave a shard as spanning edges, fewer than its members.
+holds the shard. Links leave a shard as spanning edges, fewer than its members. A full shard is
+dealt again by its members' other bits, in the same way, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import Written, arrow_rows, components, sorted_groups
+from setloom.llm.common import Scratch, Written, arrow_rows, components, sorted_groups
 
 SEED = 42
+#: Members beyond which a shard is dealt again, and the blocks of its other bits that must agree.
+FULL, AGAIN = 4096, 2
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -138,8 +141,46 @@ def block_choices(n: int, radius: int, most: int = 64) -> list[list[tuple[int, i
     return [list(c) for c in combinations(blocks, k)]
 
 
-def hamming_components(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp, root) of every fingerprint of ``fps(fp)`` that links with another one; root is one of its component."""
+def deal_again(choices: list[list[tuple[int, int]]], radius: int):
+    """Shards of the members (choice, key, fp) of full shards: by every choice of AGAIN of radius + AGAIN blocks of the bits left.
+
+    What agrees on a choice's blocks differs in the others alone, in at most ``radius`` bits, so
+    two of those blocks agree too.
+    """
+    rests = []
+    for blocks in choices:
+        used = {s + i for s, w in blocks for i in range(w)}
+        rests.append(np.array_split(np.array([i for i in range(64) if i not in used]), radius + AGAIN))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("choice").to_numpy()
+            for c in np.unique(of).tolist():
+                some = batch.take(pa.array(np.flatnonzero(of == c)))
+                fp, key = some.column("fp").to_numpy().view(np.uint64), some.column("key").to_numpy().view(np.uint64)
+                parts = []
+                for bits in rests[c]:
+                    part = np.zeros(len(fp), np.uint64)
+                    for i in bits.tolist():
+                        part = part << np.uint64(1) | fp >> np.uint64(i) & np.uint64(1)
+                    parts.append(part)
+                for k, chosen in enumerate(combinations(range(len(parts)), AGAIN)):
+                    mixed = key.copy()
+                    for i in chosen:
+                        mixed = (mixed ^ parts[i]) * np.uint64(0x9E3779B97F4A7C15)
+                        mixed ^= mixed >> np.uint64(29)
+                    choice = pa.array(np.full(len(fp), len(choices) * (k + 1) + c, np.int32))
+                    yield pa.record_batch([choice, pa.array(mixed.view(np.int64)), some.column("fp")], names=["choice", "key", "fp"])
+
+    return run
+
+
+def hamming_components(fps: DataFrame, radius: int, scratch: Scratch | None = None) -> DataFrame:
+    """(fp, root) of every fingerprint of ``fps(fp)`` that links with another one; root is one of its component.
+
+    ``scratch`` holds the tables that are written meanwhile.
+    """
+    scratch = scratch or Scratch()
     distinct = fps.select("fp").distinct()
     choices = block_choices(distinct.count(), radius)
     keys = []
@@ -169,8 +210,13 @@ def hamming_components(fps: DataFrame, radius: int) -> DataFrame:
         return pa.record_batch(signed, names=["u", "v"])
 
     dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("s")).select("s.choice", "s.key", "fp")
+    full = scratch.write(dealt.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("choice", "key"), "full-shards")
+    if not full.isEmpty():
+        again = dealt.join(full, ["choice", "key"], "left_semi").select("choice", "key", "fp").mapInArrow(deal_again(choices, radius), "choice int, key long, fp long")
+        dealt = dealt.join(full, ["choice", "key"], "left_anti").select("choice", "key", "fp").unionByName(again)
     dealt = dealt.repartition("choice", "key").sortWithinPartitions("choice", "key")
-    return components(dealt.mapInArrow(link, "u long, v long")).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    links = scratch.write(dealt.mapInArrow(link, "u long, v long"), "shard-links")
+    return components(links, scratch).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 def simhash_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
@@ -184,7 +230,8 @@ def simhash_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     """
     docs = Written(fingerprints(df.select(id_col, text), text, id_col, width), "fingerprints")
     nodes = docs.df.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    linked = Written(hamming_components(docs.df, radius), "fp-components").df
+    scratch = Scratch()
+    linked = scratch.write(hamming_components(docs.df, radius, scratch), "fp-components")
     rooted = nodes.join(linked, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.where("root <> fp or rep is null").select("root").distinct()  # roots with more than their own fingerprint
     many = rooted.join(least, "root", "left_semi")
@@ -192,6 +239,7 @@ def simhash_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     of_many = many.join(roots, "root").select("fp", "component_id")
     of_one = rooted.join(least, "root", "left_anti").select("fp", F.col("rep").alias("component_id"))
     by_fp = Written(of_one.unionByName(of_many), "fp-ids").df
+    scratch.drop()
     return docs.df.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

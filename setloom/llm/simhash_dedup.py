@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import Written, components, sorted_groups
+from setloom.llm.common import Scratch, Written, components, sorted_groups
 from setloom.llm.simhash import SEED, spanning_links
 
 #: Of 128 bits: random texts differ in 64 +- 6, texts of similarity 0.8 in about 20 +- 4.
@@ -162,8 +162,11 @@ def in_parts(group: str, many: str) -> Column:
     return F.when((F.col(many) > 1) & is_hub, F.sequence(F.lit(0), F.col(many) - 1)).otherwise(F.array(own))
 
 
-def coarse_groups(nodes: DataFrame) -> DataFrame:
-    """(node, component) of ``nodes(node, fp, minima)`` with another fingerprint within RADIUS bits in a shard."""
+def coarse_groups(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of ``nodes(node, fp, minima)`` with another fingerprint within RADIUS bits in a shard.
+
+    ``scratch`` holds the tables that are written meanwhile.
+    """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: list[int] = []
@@ -184,25 +187,26 @@ def coarse_groups(nodes: DataFrame) -> DataFrame:
                 u, v = [], []
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    def full(dealt: DataFrame) -> DataFrame:
-        # written, so that its size is known: it is tiny unless shards are hot, and then Spark may broadcast it
+    def split(dealt: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(key, part, node, fp) of all shards, and the full ones' keys with their parts, if there are any."""
         counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FULL)
-        counts = Written(counts.select("key", F.ceil(F.col("n") / F.lit(FULL)).cast("int").alias("parts")), "full-shards").df
-        hubs = dealt.join(counts.select("key"), "key", "left_semi").groupBy("key").agg(hubs_of().alias("hubs"))
-        return Written(counts.join(hubs, "key"), "full-shard-hubs").df
-
-    def parted(dealt: DataFrame, many: DataFrame) -> DataFrame:
+        many = scratch.write(counts.select("key", F.ceil(F.col("n") / F.lit(FULL)).cast("int").alias("parts")), "full-shards")
+        if many.isEmpty():
+            return dealt.select("key", F.lit(0).alias("part"), "node", "fp"), None
+        hubs = dealt.join(many.select("key"), "key", "left_semi").groupBy("key").agg(hubs_of().alias("hubs"))
+        many = scratch.write(many.join(hubs, "key"), "full-shard-hubs")
         some = dealt.join(many, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        return some.select("key", F.explode(in_parts("key", "parts")).alias("part"), "node", "fp")
+        return some.select("key", F.explode(in_parts("key", "parts")).alias("part"), "node", "fp"), many
 
     shards = "key long, band int, node long, fp binary"
     dealt = nodes.mapInArrow(deal, shards)
-    many = full(dealt)
-    crowded = dealt.join(many.select("key"), "key", "left_semi").select("key", "band", "node")
-    longer = crowded.join(nodes, "node").select("key", "band", "node", "fp", "minima").mapInArrow(deal_longer, shards)
-    every = parted(dealt, many).unionByName(parted(longer, full(longer)))
+    every, many = split(dealt)
+    if many is not None:
+        crowded = scratch.write(dealt.join(many.select("key"), "key", "left_semi").select("key", "band", "node"), "crowded")
+        longer = crowded.join(nodes, "node").select("key", "band", "node", "fp", "minima").mapInArrow(deal_longer, shards)
+        every = every.unionByName(split(longer)[0])
     every = every.repartition("key", "part").sortWithinPartitions("key", "part")
-    return components(every.mapInArrow(link, "u long, v long"))
+    return components(scratch.write(every.mapInArrow(link, "u long, v long"), "shard-links"), scratch)
 
 
 def overlaps(grams: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -250,7 +254,7 @@ def similar_links(nodes: list[int], grams: list[np.ndarray], similarity: float,
     return out
 
 
-def group_links(members: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def group_links(members: DataFrame, texts: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Links (u, v) that join what ``similarity`` joins inside each group of ``members(component, node, size)``.
 
     A group is dealt in blocks, each with the group's hubs. Where it has several, the members
@@ -259,7 +263,7 @@ def group_links(members: DataFrame, texts: DataFrame, width: int, similarity: fl
     """
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), blocks.alias("blocks"), hubs_of().alias("hubs"))
-    sizes = Written(sizes.where("n > 1").select("component", "blocks", "hubs"), "group-sizes").df
+    sizes = scratch.write(sizes.where("n > 1").select("component", "blocks", "hubs"), "group-sizes")
     placed = members.join(sizes, "component")
 
     def with_grams(rows: DataFrame, columns: str) -> DataFrame:
@@ -289,12 +293,12 @@ def group_links(members: DataFrame, texts: DataFrame, width: int, similarity: fl
 
     at = placed.withColumn("at", in_parts("component", "blocks"))
     some = with_grams(at, "component long, node long, at array<int>").select("component", F.explode("at").alias("i"), "node", F.col("node").alias("label"), F.lit(None).cast("boolean").alias("side"), "grams")
-    first = Written(pairs(some, ["i"]), "block-links").df
+    first = scratch.write(pairs(some, ["i"]), "block-links")
     large = sizes.where("blocks > 1")
     if large.isEmpty():
         return first.select("u", "v")
-    joined = components(first.join(large.select("component"), "component", "left_semi").select("u", "v")).select("node", F.col("component").alias("label"))
-    labelled = Written(placed.where("blocks > 1").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled").df
+    joined = components(first.join(large.select("component"), "component", "left_semi").select("u", "v"), scratch).select("node", F.col("component").alias("label"))
+    labelled = scratch.write(placed.where("blocks > 1").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     major = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("major"))
     minor = labelled.join(major, "component").where("label <> major")
     counts = minor.groupBy("component").agg(blocks.alias("others"), F.max("major").alias("major"))
@@ -304,7 +308,8 @@ def group_links(members: DataFrame, texts: DataFrame, width: int, similarity: fl
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = rest.select("component", F.col("b").alias("i"), spread("others").alias("j"), "node", "label", F.lit(True).alias("side"), "grams")
     right = rest.where("o is not null").select("component", spread("blocks").alias("i"), F.col("o").alias("j"), "node", "label", F.lit(False).alias("side"), "grams")
-    return first.select("u", "v").unionByName(pairs(left.unionByName(right), ["i", "j"]).select("u", "v"))
+    second = scratch.write(pairs(left.unionByName(right), ["i", "j"]), "rest-links")
+    return first.select("u", "v").unionByName(second.select("u", "v"))
 
 
 def near_duplicate_groups(df: DataFrame, row: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -317,12 +322,14 @@ def near_duplicate_groups(df: DataFrame, row: str, text: str, width: int = 5, si
     each = Written(found, "wide-fingerprints").df
     kept = ["fp", "minima", "first", "size"]
     nodes = Written(each.groupBy("same").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in kept]), "text-classes").df
+    scratch = Scratch()
     # texts without a word are copies of each other and of nothing else
-    coarse = coarse_groups(nodes.where("minima is not null").select("node", "fp", "minima")).join(nodes.select("node", "size"), "node")
+    coarse = coarse_groups(nodes.where("minima is not null").select("node", "fp", "minima"), scratch).join(nodes.select("node", "size"), "node")
     short = nodes.select(F.explode("first").alias("component"), "node", "size")
-    members = Written(coarse.select("component", "node", "size").unionByName(short), "coarse").df
-    links = group_links(members, slim.withColumnRenamed("row", "node"), width, similarity)
-    linked = Written(components(links), "similar").df
+    members = scratch.write(coarse.select("component", "node", "size").unionByName(short), "coarse")
+    links = group_links(members, slim.withColumnRenamed("row", "node"), width, similarity, scratch)
+    linked = Written(components(links, scratch), "similar").df
+    scratch.drop()
     group_of = nodes.select("same", "node").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("group"))
     return each.select("row", "same").join(group_of, "same").select("row", "group")
 

@@ -35,7 +35,7 @@ BARE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s0-9{LE
 #: A word, and a word with marks behind it, none of which can begin another pre-token.
 WORD, WORD_AND_MARKS = f"^[{LETTER}]+$", f"^(?P<word>[{LETTER}]+)(?P<marks>[!-&(-/:-@\\[-`{{-~]+)$"
 #: Bytes of a batch, and of the longest word that numpy merges: a round merges one pair a word.
-BATCH_BYTES, WORD_BYTES = 8 << 20, 64
+BATCH_BYTES, WORD_BYTES = 4 << 20, 64
 NONE = np.iinfo(np.int32).max
 
 

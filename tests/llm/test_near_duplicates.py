@@ -85,6 +85,21 @@ def test_tree_links_equal_brute_force(spread):
     assert brute_components(values, lambda a, b: (min(a, b), max(a, b)) in joined) == up
 
 
+@pytest.mark.parametrize("full", [4, 60, 10_000])
+def test_full_shards_lose_no_link(spark, monkeypatch, full):
+    monkeypatch.setattr(simhash, "FULL", full)
+    r = random.Random(full)
+    base = [r.getrandbits(64) for _ in range(3)]
+    common = r.getrandbits(64) & ~0xFFFFFFFF  # half the bits of many agree
+    values = {b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 9))) for b in base for _ in range(60)}
+    values = sorted(values | {common | r.getrandbits(20) for _ in range(200)})
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    got = {x["fp"] % (1 << 64): x["root"] % (1 << 64) for x in simhash.hamming_components(df, 4).collect()}
+    want = brute_components(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    groups = lambda of: {frozenset(k for k in of if of[k] == c) for c in set(of.values())}
+    assert groups({v: got.get(v, v) for v in values}) == groups(want)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(200, 260)] + [(r.randint(0, 99), r.randint(0, 99)) for _ in range(60)] + [(7, 7)] + [(500, 500 + i) for i in range(1, 80)]
@@ -188,27 +203,27 @@ def test_recall_of_pairs_near_the_threshold(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
     passage, rows, pairs = [word() for _ in range(60)], [], []
-    for k in range(900):
+    for k in range(600):
         n = (30, 60, 150, 400, 1500)[k % 5]
         a = [word() for _ in range(n)]
         if k % 3 == 0:
             m = min(60, n // 4)
             a[n // 2 : n // 2 + m] = passage[:m]
         b = list(a)
-        while True:  # a changed word costs up to five shingles
-            c = list(b)
-            c[r.randrange(n)] = word()
-            if jaccard(" ".join(a), " ".join(c)) < 0.8:
-                break
-            b = c
+        if n == 30:
+            b += [word() for _ in range((n - 4) // 4)]
+        for i in range((n - 4) // 45):  # each changed word costs five shingles
+            b[i * 45 + 10 + r.randrange(20)] = word()
+        assert 0.8 <= jaccard(" ".join(a), " ".join(b)) <= 0.85
         rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
         pairs.append((n, 2 * k + 1))
     kept = {x["doc_id"] for x in simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(2 * k in kept for k in range(900))
+    assert all(2 * k in kept for k in range(600))
     for n in (30, 60, 150, 400, 1500):
         of = [i for m, i in pairs if m == n]
-        print(n, sum(i not in kept for i in of) / len(of))
-        assert sum(i not in kept for i in of) >= 0.95 * len(of), n
+        found = sum(i not in kept for i in of) / len(of)
+        print(n, found)
+        assert found >= 0.95, n
 
 
 def test_short_texts_at_the_threshold_all_link(spark):
