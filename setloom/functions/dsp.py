@@ -10,6 +10,7 @@ import math
 import numpy as np
 
 from setloom.functions.camelot import PITCHES, WHEEL
+from setloom.functions.timeline import TEMPO_LADDER
 
 # Rates, tempo range, tolerances, key profiles (Krumhansl and Schmuckler).
 RATE, ENVELOPE_WINDOW, FLUX_FRAME, FLUX_HOP = 22050, 256, 1024, 256
@@ -253,9 +254,9 @@ def constant_regions(beats: np.ndarray) -> list[tuple[float, float, int]]:
 def snapped_tempo(low: float, center: float, high: float) -> float:
     if not all(math.isfinite(v) and v > 0 for v in (low, center, high)):
         return center
-    for fraction, allowed in ((1, True), (2, center < 85), (2 / 3, center > 127), (3, True), (12, True)):
+    for fraction, below, above in TEMPO_LADDER:
         x = math.floor(center * fraction + 0.5) / fraction
-        if allowed and low < x < high:
+        if low < x < high and (below is None or center < below) and (above is None or center > above):
             return x
     return center
 

@@ -17,6 +17,14 @@ AUDIO_EXTENSIONS = ["mp3", "wav", "flac", "aiff", "aif", "m4a", "aac", "ogg", "o
 BPM_LOW, BPM_HIGH, SAME_TEMPO = 60, 200, 0.04
 TEMPO_FAMILIES = [1.0, 2.0, 0.5, 1.5, 2.0 / 3.0]
 TRACK_URI = "spotify:track:"
+#: Forms of a tempo in a name, the surest first: how it is called, its pattern, its confidence; and a form that callers may allow.
+TEMPO_FORMS = [("bpm-suffix", r"(?i)(?<![\d.])(\d{2,3})\s*bpm\b", 1.0), ("bracket", r"[\[(](\d{2,3})[\])]\s*$", 0.95), ("trailing", r"\s(\d{2,3})\s*$", 0.9)]
+LEADING_FORM = ("leading", r"^(\d{2,3})\s*[-_.\s]", 0.5)
+#: What a file name can't hold, and the order in which doubled separators, empty brackets and stray spaces go.
+UNSAFE = r'[/\\:*?"<>|]'
+COLLAPSES = [(r"\s*[-_·]\s*[-_·]", " -"), (r"\[\s*\]", ""), (r"\(\s*\)", ""), (r"\s{2,}", " "), (r"\s+([)\]}])", "$1"), (r"([(\[{])\s+", "$1")]
+EMPTY_NAME = "template rendered empty (missing tags?)"
+TRACK_LINK, TRACK_ID = r"open\.spotify\.com/(?:intl-\w+/)?track/([a-zA-Z0-9]+)", "^[a-zA-Z0-9]{22}$"
 
 
 def basename(path: Column) -> Column:
@@ -54,13 +62,8 @@ def in_range(bpm: Column) -> Column:
 def bpm_from_name(name: Column, allow_leading: bool = False) -> Column:
     """struct(bpm, source, confidence) read from a file name, or null; a value out of range falls to the next form."""
     base = F.trim(F.regexp_replace(basename(name), r"^(.+)\.[^.]*$", "$1"))
-    forms = [
-        ("bpm-suffix", r"(?i)(?<![\d.])(\d{2,3})\s*bpm\b", 1.0),
-        ("bracket", r"[\[(](\d{2,3})[\])]\s*$", 0.95),
-        ("trailing", r"\s(\d{2,3})\s*$", 0.9),
-    ] + ([("leading", r"^(\d{2,3})\s*[-_.\s]", 0.5)] if allow_leading else [])
     found = []
-    for source, pattern, confidence in forms:
+    for source, pattern, confidence in TEMPO_FORMS + [LEADING_FORM] * allow_leading:
         value = F.regexp_extract(base, pattern, 1).try_cast("int")
         found.append(F.when(in_range(value), F.struct(value.alias("bpm"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))))
     return F.coalesce(*found)
@@ -130,20 +133,13 @@ def match_score(title: Column, artist: Column, seconds: Column, hit_title: Colum
 
 
 def sanitized(text: Column) -> Column:
-    safe = F.regexp_replace(F.coalesce(text, F.lit("")), r'[/\\:*?"<>|]', "_")
+    safe = F.regexp_replace(F.coalesce(text, F.lit("")), UNSAFE, "_")
     return F.trim(F.regexp_replace(safe, r"\s+", " "))
 
 
 def collapsed(text: Column) -> Column:
     """Doubled separators, empty brackets and stray spaces, in this order."""
-    for pattern, into in (
-        (r"\s*[-_·]\s*[-_·]", " -"),
-        (r"\[\s*\]", ""),
-        (r"\(\s*\)", ""),
-        (r"\s{2,}", " "),
-        (r"\s+([)\]}])", "$1"),
-        (r"([(\[{])\s+", "$1"),
-    ):
+    for pattern, into in COLLAPSES:
         text = F.regexp_replace(text, pattern, into)
     return F.trim(text)
 
@@ -176,10 +172,16 @@ def new_name(path: Column, rendered_name: Column) -> Column:
     return F.when(clean != "", F.concat(clean, extension(old))).otherwise(old)
 
 
+def rename_preview(path: Column, rendered_name: Column) -> Column:
+    """struct(new_name, changed, reason): reason says why a name stays although a template was rendered."""
+    name, empty = new_name(path, rendered_name), collapsed(F.trim(rendered_name)) == ""
+    return F.struct(name.alias("new_name"), (name != basename(path)).alias("changed"), F.when(empty, EMPTY_NAME).alias("reason"))
+
+
 def track_uri(text: Column) -> Column:
     """A catalog track address in canonical form, from the form itself, a link or a bare id; else null."""
-    link = F.regexp_extract(text, r"open\.spotify\.com/(?:intl-\w+/)?track/([a-zA-Z0-9]+)", 1)
-    return F.when(text.startswith(TRACK_URI), text).when(link != "", F.concat(F.lit(TRACK_URI), link)).when(text.rlike("^[a-zA-Z0-9]{22}$"), F.concat(F.lit(TRACK_URI), text))
+    link = F.regexp_extract(text, TRACK_LINK, 1)
+    return F.when(text.startswith(TRACK_URI), text).when(link != "", F.concat(F.lit(TRACK_URI), link)).when(text.rlike(TRACK_ID), F.concat(F.lit(TRACK_URI), text))
 
 
 def minutes(seconds: Column) -> Column:

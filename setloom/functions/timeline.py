@@ -12,6 +12,8 @@ SAFE_STRETCH, SYNC_LIMIT, LEAD_SECONDS, FADE_BEATS, TARGET_LUFS = 0.06, 0.08, 0.
 ENGINE_FADE, PLANNED_FADE = (8.0, 40.0), (6.0, 20.0)
 DRUM_EDIT = r"(?i)\b(dj[\s._-]*beats?|dj[\s._-]*edit)\b"
 AUDIBLE_PHASE_SECONDS = 0.025
+#: Fractions of a beat a minute that a tempo snaps to, the roundest first, with the tempos they are for (None: all): below, above.
+TEMPO_LADDER = [(1, None, None), (2, 85, None), (2 / 3, None, 127), (3, None, None), (12, None, None)]
 
 
 def js_round(x: Column) -> Column:
@@ -148,14 +150,16 @@ def mix_trigger(mix_out: Column, fade: Column) -> Column:
 
 
 def snap_tempo(low: Column, center: Column, high: Column) -> Column:
-    """The roundest tempo strictly inside (low, high): whole, half below 85, two thirds above 127, third, twelfth."""
-    def snap(fraction: float, when: Column | None = None) -> Column:
+    """The first tempo of TEMPO_LADDER strictly inside (low, high), else the center."""
+
+    def snap(fraction: float, below: float | None, above: float | None) -> Column:
         x = js_round(center * fraction) / fraction
-        inside = (x > low) & (x < high)
-        return F.when(inside if when is None else inside & when, x)
+        fits = (x > low) & (x < high)
+        fits = fits if below is None else fits & (center < below)
+        return F.when(fits if above is None else fits & (center > above), x)
 
     usable = (low > 0) & (center > 0) & (high > 0)
-    ladder = F.coalesce(snap(1), snap(2, center < 85), snap(2 / 3, center > 127), snap(3), snap(12), center)
+    ladder = F.coalesce(*[snap(*step) for step in TEMPO_LADDER], center)
     return F.when(usable, ladder).otherwise(center)
 
 

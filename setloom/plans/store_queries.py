@@ -12,7 +12,7 @@ from setloom.functions import camelot, codecs, text
 from setloom.operators import dedupe, library, queueing, ranking
 from setloom.plans.fixtures import duck, load
 from setloom.plans.queries import (
-    LIB, NEEDLE, NOW_MS, ORACLE, PAIRS_SQL, QUEUE_SQL, SESSION, SESSION_SQL, TOTAL, TWINS, lib, members, parts_sql, query, r6, session_rows,
+    CLEAN, COLLAPSE, LIB, NEEDLE, NOW_MS, ORACLE, PAIRS_SQL, QUEUE_SQL, SESSION, SESSION_SQL, TOTAL, TWINS, lib, members, parts_sql, query, r6, session_rows,
 )
 from setloom.sources import catalog, files, plist
 
@@ -152,6 +152,14 @@ def countdown_text(spark, sf):
     return lib(spark, sf).select("track_id", text.countdown(F.col("duration_sec") * F.coalesce("energy_mean", F.lit(0.5))).alias("left_text"))
 
 
+@query(f"""{LIB}, r AS (SELECT track_id, regexp_extract(file_path, '([^/]*)$', 1) AS old, {COLLAPSE.format(CLEAN.format("coalesce(genre, '')"))} AS clean FROM lib),
+n AS (SELECT *, CASE WHEN clean = '' THEN old ELSE concat(clean, regexp_extract(old, '^.+?((\\.[^.]*)?)$', 1)) END AS new_name FROM r)
+SELECT track_id, new_name, new_name <> old AS changed, CASE WHEN clean = '' THEN 'template rendered empty (missing tags?)' END AS reason FROM n""")
+def rename_by_genre(spark, sf):
+    preview = text.rename_preview(F.col("file_path"), text.rendered(" {Genre} ", {"genre": F.col("genre")}))
+    return lib(spark, sf).select("track_id", preview.alias("p")).select("track_id", "p.*")
+
+
 # ---- duplicates -----------------------------------------------------------------------------------
 
 PLACED = ORACLE["probable_duplicates"].rsplit("SELECT track_id, key, anchor", 1)[0]
