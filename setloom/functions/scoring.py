@@ -18,6 +18,16 @@ def clamp01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to so many decimals as SQL on doubles has it: scaled, halves away from zero, scaled back.
+
+    Spark's ``round`` takes the shortest decimal text for the value, so that a double which lies
+    just below a half when scaled goes up there and down in SQL.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(x * scale) / scale
+
+
 def bpm_score(current: Column, candidate: Column, sigma: float = 3.0) -> Column:
     """The best of the tempo, its double and its half under a Gaussian."""
     cur, cand = F.coalesce(current, F.lit(DEFAULT_BPM)), F.coalesce(candidate, F.lit(DEFAULT_BPM))

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 def r6(c: Column, name: str) -> Column:
     # adding zero turns -0.0 into 0.0
-    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+    return (S.rounded(c, 6) + F.lit(0.0)).alias(name)
 
 
 def lib(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from setloom.functions import camelot, text, timeline
+from setloom.functions import camelot, scoring, text, timeline
 from setloom.functions.dsp import snapped_tempo
 from setloom.operators import dedupe, series
 
@@ -84,6 +84,16 @@ def test_snap_ladder(spark):
     assert got == pytest.approx([snapped_tempo(*r) for r in rows]) and got[:2] == [128.0, 80.5] and got[3:] == [99.99, 10.2]
 
 
+def test_rounded_as_sql_on_doubles(spark):
+    """0.5017185 lies just below the half once scaled; Spark's own round takes it up."""
+    import duckdb
+
+    values = [0.5017185, -0.5017185, 0.0000005, 2.5, -2.5, 0.1234565, 1e12 + 0.1, 0.0, None]
+    want = [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+    assert column(spark, [(v,) for v in values], "x double", scoring.rounded(F.col("x"), 6)) == want
+    assert want[:2] == [0.501718, -0.501718]
+
+
 def test_ramp_integral(spark):
     rows = [(1.05, 1.0, 8.0, 4.0), (0.95, 1.0, 5.0, 5.0), (1.0, 1.0, 5.0, 9.0), (1.06, 1.0, 10.0, 14.0), (0.9, 1.1, 3.0, 1.0)]
 

@@ -68,6 +68,39 @@ def test_reorder_keeps_members(spark, sf):
     assert out.groupBy("queue_id").agg(F.max("place").alias("last"), F.count("*").alias("n")).where("last <> n - 1").count() == 0
 
 
+def test_hub_means_are_those_of_sql(spark, tmp_path):
+    """Queues whose mean lies on half of the last decimal shown, and of the last one kept."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    queues = {
+        20753: [(2, 3817), (2, 6718), (5, 1863), (6, 6835), (7, 12532), (7, 11947)],
+        84184: [(1, 4046), (2, 1933), (3, 6490), (5, 3977), (6, 12514), (7, 16314)],
+        108968: [(1, 659), (1, 10712), (5, 8326), (5, 19711), (6, 45), (6, 6545)],
+    }
+    lines = [(q, n, p) for q, rows in queues.items() for n, p in rows]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE l AS SELECT * FROM (VALUES {', '.join(map(str, lines))}) v(q, n, p)")
+    con.execute(f"COPY (SELECT q::BIGINT AS l_orderkey, n AS l_linenumber, p::BIGINT AS l_partkey, 1 AS l_suppkey, 1.0::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice, DATE '2000-01-01' AS l_shipdate FROM l) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"COPY (SELECT p::BIGINT AS p_partkey, concat('name ', p) AS p_name, concat('brand ', p) AS p_brand, 1 AS p_size, concat('type ', p) AS p_type FROM l) TO '{tmp_path}/part.parquet'")
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(f"SELECT queue_id, track_id, mean FROM ({entry.oracle_sql()['hub_seed']})").fetchall()
+    got = entry.queries()["hub_seed"](spark, str(tmp_path)).select("queue_id", "track_id", "mean").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_hub_means_add_from_the_end(spark, monkeypatch):
+    """Whatever order the scores arrive in: their sum from the start would round to 0.403639661."""
+    scores = [0.306676252, 0.30582399, 0.60223471, 0.39982369]
+    rows = [(1, 0, i + 1, "x", f"y{i}", s) for i, s in enumerate(scores)]
+    for arrival in (rows, rows[::-1]):
+        pairs = spark.createDataFrame(arrival, "queue_id long, a_pos long, b_pos long, a string, b string, score double").coalesce(1)
+        monkeypatch.setattr(ranking, "pair_scores", lambda members, group, pairs=pairs: pairs)
+        assert [tuple(r) for r in ranking.hub_seed(None, "queue_id").collect()] == [(1, "x", 0.40363966)]
+
+
 def test_reorder_bounds_a_queue(spark, sf, monkeypatch):
     from setloom.plans.queries import members
 
