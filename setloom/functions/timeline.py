@@ -75,11 +75,15 @@ def release_glide(ratio: Column, fade: Column) -> Column:
 
 
 def phase_correction(position: Column, first: Column, period: Column, other_position: Column, other_first: Column, other_period: Column) -> Column:
-    """The shortest signed shift, in seconds of the first track, that aligns its beat phase with the other's."""
-    mine = F.pmod(position - first, period) / period
-    other = F.pmod(other_position - other_first, other_period) / other_period
-    gap = F.pmod(other - mine + 0.5, F.lit(1.0)) - 0.5
-    return gap * period
+    """The shortest signed shift, in seconds of the first track, that aligns its beat phase with the other's.
+
+    Phases are the fractions of the elapsed beats, as in SQL: remainders of the seconds differ from
+    them in the last bits, which give half a beat the other sign.
+    """
+    fraction = lambda x: x - F.floor(x)
+    mine = fraction((position - first) / period)
+    other = fraction((other_position - other_first) / other_period)
+    return (fraction(other - mine + 0.5) - 0.5) * period
 
 
 def ramp_integral(start: Column, end: Column, length: Column, elapsed: Column) -> Column:

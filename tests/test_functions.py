@@ -115,6 +115,18 @@ def test_phase_is_shortest(spark):
         assert min(abs(mine - other), 1 - abs(mine - other)) < 1e-6
 
 
+def test_phase_of_half_a_beat_has_the_sign_of_sql(spark):
+    """Tracks 5200 and 11128 of sf0.1 stand half a beat apart from the other grid."""
+    import duckdb
+
+    rows = [(90.0, 0.3, 100.0), (102.0, 0.25, 123.2)]
+    sql = "SELECT (z - floor(z) - 0.5) * p FROM (SELECT p, (y / 0.5 - floor(y / 0.5)) - (x / p - floor(x / p)) + 0.5 AS z FROM (SELECT 60 / ?::DOUBLE AS p, ?::DOUBLE / 3 - ?::DOUBLE AS x, ?::DOUBLE / 5 AS y))"
+    want = [duckdb.execute(sql, [bpm, seconds, first, seconds]).fetchone()[0] for seconds, first, bpm in rows]
+    shift = timeline.phase_correction(F.col("seconds") / 3, F.col("first"), 60 / F.col("bpm"), F.col("seconds") / 5, F.lit(0.0), F.lit(0.5))
+    assert column(spark, rows, "seconds double, first double, bpm double", shift) == want
+    assert all(x < 0 for x in want)
+
+
 def test_block_peaks_drop_the_remainder(spark):
     assert column(spark, [([1.0, -2.0, 0.5, 0.25, 9.0],)], "x array<double>", series.block_peaks(F.col("x"), 2)) == [[1.0, 0.25]]
 
